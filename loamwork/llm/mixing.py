@@ -21,7 +21,7 @@ from loamwork.llm.store import materialise
 #: Most sources that a mix may have: the schedule, a few numbers a source, phase and slot, is on the driver and broadcast.
 MAX_SOURCES = 256
 #: Documents of a source that are ordered in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 @dataclass(frozen=True)
