@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import chat, mixing, neardup, quality, substring, warc
+from loamwork.llm import chat, itq, mixing, neardup, quality, substring, warc
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -46,6 +46,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -56,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing_sources": op7_mixing_sources,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_warc": op9_warc,
 }
