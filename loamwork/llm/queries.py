@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import chat, itq, mixing, neardup, quality, substring, warc
+from loamwork.llm import chat, itq, mixing, neardup, quality, sentence_pieces, substring, toxicity, warc
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return told.select("doc_id", *(F.col(f"toxicity.{k}").alias(f"p_{k}") for k in toxicity.LINKS), "toxic", (~F.col("toxic")).alias("kept"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", substring.digest(F.col("kept_text")).alias("kept_sha256"))
@@ -54,12 +59,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
