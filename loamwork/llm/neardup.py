@@ -26,6 +26,8 @@ SLOTS, BANDS, BAND_ROWS = 256, 42, 6
 SCREEN, LEAST = 128, 0.62
 #: Members of a bucket that one task holds; larger buckets are split and their parts met pairwise.
 PART = 2048
+#: Elements whose slot shuffles are held at once.
+SHUFFLED = 1 << 15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _C = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -52,40 +54,52 @@ def shingle_sets(p: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
+def _draw(elements: np.ndarray, level: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place to swap with at this level, value) of each element."""
+    z = mix(elements + np.uint64((level + 1) * int(_STEP) & int(_MAX)))
+    place = level + ((z & np.uint64(0xFFFFFF)) * np.uint64(slots - level) >> np.uint64(24)).astype(np.int64)
+    return place, (np.uint64(level) << np.uint64(40)) | (z >> np.uint64(24))
+
+
 def superminhash(elements: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (texts x slots) by SuperMinHash (Ertl 2017), level by level for all texts at once.
+    """Signatures (texts x slots) by SuperMinHash (Ertl 2017), level by level for many texts at once.
 
     At level j an element's own shuffle of the slots names its j-th slot, which takes the minimum of j plus a fraction.
     A text stops at the first level that leaves no slot empty: every later value would be larger. Values are integers,
-    the level in the high bits; an empty set keeps the maximum everywhere.
+    the level in the high bits; an empty set keeps the maximum everywhere. Texts that go on past level 0 do so in
+    batches of SHUFFLED elements, long texts first, so that the shuffles held are few and the levels of short ones shared.
     """
     n = len(first) - 1
-    sig = np.full(n * slots, _MAX, np.uint64)
-    text = np.repeat(np.arange(n), np.diff(first))
-    shuffle = np.zeros((0, slots), np.uint8 if slots <= 256 else np.uint16)
-    live, rows = np.arange(len(elements)), np.zeros(0, np.int64)
-    for level in range(slots):
-        if not len(live):
-            break
-        z = mix(elements[live] + np.uint64((level + 1) * int(_STEP) & int(_MAX)))
-        pick = level + ((z & np.uint64(0xFFFFFF)) * np.uint64(slots - level) >> np.uint64(24)).astype(np.int64)
-        value = (np.uint64(level) << np.uint64(40)) | (z >> np.uint64(24))
-        if level == 0:
-            slot = pick
-        else:
-            slot = shuffle[rows, pick].astype(np.int64)
+    sizes = np.diff(first)
+    sig = np.full((n, slots), _MAX, np.uint64)
+    flat = sig.reshape(-1)
+    place, value = _draw(elements, 0, slots)
+    np.minimum.at(flat, np.repeat(np.arange(n), sizes) * slots + place, value)
+    on = np.flatnonzero((sig == _MAX).any(1) & (sizes > 0))
+    on = on[np.argsort(-sizes[on], kind="stable")]
+    total = np.cumsum(sizes[on])
+    at = 0
+    while at < len(on):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SHUFFLED, side="right")))
+        own, at = on[at:to], to
+        text = np.repeat(own, sizes[own])
+        index = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
+        live = elements[index]
+        shuffle = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(live), 1))
+        rows = np.arange(len(live))
+        shuffle[rows, place[index]] = 0
+        for level in range(1, slots):
+            pick, value = _draw(live, level, slots)
+            slot = shuffle[rows, pick]
             shuffle[rows, pick] = shuffle[rows, level]
-        np.minimum.at(sig, text[live] * slots + slot, value)
-        waiting = (sig.reshape(n, slots) == _MAX).any(1)[text[live]]
-        if level == 0:
-            live, pick = live[waiting], pick[waiting]
-            shuffle = np.tile(np.arange(slots, dtype=shuffle.dtype), (len(live), 1))
-            rows = np.arange(len(live))
-            shuffle[rows, pick] = 0
-        elif waiting.sum() < 0.75 * len(live):
-            live, shuffle = live[waiting], shuffle[waiting]
-            rows = np.arange(len(live))
-    return sig.reshape(n, slots)
+            np.minimum.at(flat, text * slots + slot, value)
+            waiting = (sig[own] == _MAX).any(1)
+            if not waiting.any():
+                break
+            if (kept := np.repeat(waiting, sizes[own])).sum() < 0.75 * len(live):
+                own, text, live, shuffle = own[waiting], text[kept], live[kept], shuffle[kept]
+                rows = np.arange(len(live))
+    return sig
 
 
 def class_keys(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

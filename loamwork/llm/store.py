@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows times bytes a row that may be broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bounds on the Arrow batches that Python workers get, so that long texts don't pile up.
-ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 2_000, 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
