@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import BROADCAST_BYTES, bounded_batches, materialise
+from loamwork.llm.store import bounded_batches, materialise
 from loamwork.llm.text import WORD_POWERS, Piece, grams, mix, pieces, sliding_min
 
 WINDOW, GRAM = 50, 25
@@ -196,8 +196,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     cover = materialise(removed_runs(base.select("doc", "tid", "text"), width_bits), "cover")
-    size = cover.agg(F.sum(F.size("runs") * 24 + 64)).first()[0] or 0
-    joined = base.join(F.broadcast(cover) if size <= BROADCAST_BYTES else cover.hint("merge"), ["doc", "tid"], "left")
+    joined = base.join(cover.hint("merge"), ["doc", "tid"], "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
