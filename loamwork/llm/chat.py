@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches
+from loamwork.llm.store import prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -135,7 +135,7 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     at orders the records of a conversation, part the turns of a record. A record that is no JSON object, or whose
     fingerprint no layout has, gives one row with layout, role and text null, to be counted or mended, never lost.
     """
-    bounded_batches(records.sparkSession)
+    prepare(records.sparkSession)
     columns = ["conv_id", "at", "part", "fingerprint", "layout", "role", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4]
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.graph import connected_components
-from loamwork.llm.store import bounded_batches, join_checked, materialise
+from loamwork.llm.store import join_checked, materialise, prepare
 
 #: Vectors that the rotations are fitted on; every vector is indexed.
 SAMPLE = 10_000
@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     an id are one node. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = base.filter(F.col("vec_id").isNotNull()).filter(F.coalesce(sound, F.lit(False)))

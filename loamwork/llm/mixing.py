@@ -102,7 +102,7 @@ def mix(docs: DataFrame, block: int = 64, weights: dict[str | None, float] | Non
     source with a third of all rows is ordered by many tasks. Every row has a place, no place two rows; a source's last
     block may be short and leaves a gap. A null source is a source of its own, null ids come first in their bucket, rows
     with equal ids lie beside each other. weights: by source name, None for null; default the square root of its rows.
-    A missing or non-positive weight, or more than MAX_SOURCES sources, is an error; an empty table gives no rows.
+    Columns of docs that are called mix_slot, mix_offset or mix_position give way. A missing or non-positive weight, or more than MAX_SOURCES sources, is an error; an empty table gives no rows.
     """
     spark = docs.sparkSession
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
@@ -115,13 +115,15 @@ def mix(docs: DataFrame, block: int = 64, weights: dict[str | None, float] | Non
         raise ValueError("every source needs a weight above 0")
     sizes = [(k, max(1, -(-n // BUCKET_ROWS))) for k, n in counts.items()]
     buckets = spark.createDataFrame(sizes, "mix_key string, mix_buckets int")
-    keyed = docs.withColumn("mix_key", key).join(F.broadcast(buckets), "mix_key")
-    keyed = keyed.withColumn("mix_bucket", F.pmod(F.xxhash64(doc_id), F.col("mix_buckets")).cast("int")).drop("mix_buckets")
+    # the row travels as one struct, so that its columns may have any names
+    kept = [c for c in docs.columns if c not in ("mix_slot", "mix_offset", "mix_position")]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("mix_row"), F.col(doc_id).alias("mix_id"), key.alias("mix_key")).join(F.broadcast(buckets), "mix_key")
+    keyed = keyed.withColumn("mix_bucket", F.pmod(F.xxhash64("mix_id"), F.col("mix_buckets")).cast("int")).drop("mix_buckets")
     held = keyed.groupBy("mix_key", "mix_bucket").count()
     before = Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # a row a bucket: BUCKET_ROWS times fewer than the input
     offsets = materialise(held.select("mix_key", "mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("mix_before")), "offsets")
-    within = Window.partitionBy("mix_key", "mix_bucket").orderBy(doc_id)
+    within = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_id")
     ranked = keyed.withColumn("mix_rank", F.row_number().over(within) - 1)
     if sum(n for _, n in sizes) <= 200_000:
         offsets = F.broadcast(offsets)
@@ -138,7 +140,7 @@ def mix(docs: DataFrame, block: int = 64, weights: dict[str | None, float] | Non
     slot = F.col("mix_start") + F.floor(i / n) * F.col("mix_period") + F.element_at("mix_slots", (i % n + 1).cast("int"))
     out = placed.withColumn("mix_slot", slot.cast("long")).withColumn("mix_offset", F.col("mix_index") % block)
     out = out.withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_offset"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_slot", "mix_offset", "mix_position")
+    return out.select("mix_row.*", "mix_slot", "mix_offset", "mix_position")
 
 
 def in_order(mixed: DataFrame, rows_per_file: int = 20_000, block: int = 64) -> DataFrame:

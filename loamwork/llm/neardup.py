@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.graph import connected_components
-from loamwork.llm.store import bounded_batches, join_checked, materialise
+from loamwork.llm.store import join_checked, materialise, prepare
 from loamwork.llm.text import Piece, grams, mix, pieces
 
 #: BANDS bands of BAND_ROWS slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^42 = 3e-6.
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     shingle; a text without words, or null, has an empty set and is alone. A null id is linked with nothing: its
     component is null and it is kept. Rows that share an id are one node. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = materialise(base.mapInArrow(_features(shingle), FEATS), "signatures")
     some = feats.filter("n > 0 and doc_id is not null")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches, join_checked, materialise
+from loamwork.llm.store import join_checked, materialise, prepare
 from loamwork.llm.text import grams, pieces
 
 SYMBOLS = "#*$%&|<>"
@@ -85,7 +85,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_features(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and, for every row, the features over its whole text (null: no words)."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kept = docs.select(*keys, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(_features, f"{schema}, {FEATURES}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import chat, itq, mixing, neardup, quality, sentence_pieces, substring, toxicity, warc
+from loamwork.llm import chat, itq, mixing, neardup, pii, quality, sentence_pieces, substring, toxicity, warc
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -38,6 +38,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", *(F.col(f"toxicity.{k}").alias(f"p_{k}") for k in toxicity.LINKS), "toxic", (~F.col("toxic")).alias("kept"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", substring.digest(F.col("kept_text")).alias("kept_sha256"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing_sources": op7_mixing_sources,

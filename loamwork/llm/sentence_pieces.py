@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches
+from loamwork.llm.store import fresh, prepare
 
 #: Where the model lies by default; every function takes another path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -243,7 +243,7 @@ def tokenize(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
     One pass over each text, no shuffle; the pieces, as many as the model has, travel with the code. Encoding and the
     check run in one Python stage. Columns of docs with these names are replaced.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     pieces = load(model)
 
     @F.arrow_udf("struct<ids: array<int>, n_tokens: bigint, round_trip: boolean>")
@@ -255,8 +255,9 @@ def tokenize(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
             sizes = [len(x) // 4 for x in made]
             flat = np.frombuffer(b"".join(made), np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            back = [codec.decode(flat[a:b].tolist()) == t for a, b, t in zip(offsets, offsets[1:], rows, strict=True)]
+            back = [codec.decode(flat[a:b].tolist()) == t for a, b, t in zip(offsets[:-1], offsets[1:], rows, strict=True)]
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64()), pa.array(back, pa.bool_())], names=["ids", "n_tokens", "round_trip"])
 
-    told = docs.withColumn("_pieces", of(F.col(text)))
-    return told.withColumns({c: F.col(f"_pieces.{c}") for c in ("ids", "n_tokens", "round_trip")}).drop("_pieces")
+    held = fresh(docs, "pieces")
+    told = docs.withColumn(held, of(F.col(text)))
+    return told.withColumns({c: F.col(held)[c] for c in ("ids", "n_tokens", "round_trip")}).drop(held)

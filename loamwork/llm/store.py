@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +45,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Set the batch bounds of Python workers, unless the session has its own."""
+def prepare(spark: SparkSession) -> None:
+    """Ready the session for Python stages: batch bounds, unless it has its own, and a worker path to this package."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(value))
+    home = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment
+    if home not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(x for x in (held.get("PYTHONPATH", ""), home) if x)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
@@ -57,3 +63,11 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     else:
         right = right.hint("merge")
     return left.join(right, on, how)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches, materialise
+from loamwork.llm.store import materialise, prepare
 from loamwork.llm.text import WORD_POWERS, Piece, grams, mix, pieces, sliding_min
 
 WINDOW, GRAM = 50, 25
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are judged on the input. Words are runs of other than ASCII white space, unchanged. Null or short texts lose nothing;
     a null id counts as the largest; rows with equal ids are none of them the smaller; an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     cover = materialise(removed_runs(base.select("doc", "tid", "text"), width_bits), "cover")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches, materialise
+from loamwork.llm.store import materialise, prepare
 
 #: Labelled documents that the chain is fitted on, the first by a hash of their ids. Scoring covers every document.
 SAMPLE = 8_000
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     Rows of labels that share an id count once, by their largest toxic and least quality. No label, no text that has
     one, or one class only: the links predict the smoothed share of their label.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     once = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import bounded_batches, join_checked, materialise, scratch_path
+from loamwork.llm.store import join_checked, materialise, prepare, scratch_path
 
 #: Equal payloads of at least so many bytes become revisits.
 REVISIT_BYTES = 100
@@ -199,7 +199,7 @@ def archive(pages: DataFrame, folder: str | None = None, page_id: str = "page_id
     digests and ids are shuffled, so a payload that a third of all rows share is one aggregated row.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     folder = folder or scratch_path(spark, "warc")
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     payload = F.encode("html", "UTF-8")
