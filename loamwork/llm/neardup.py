@@ -22,10 +22,12 @@ from loamwork.llm.text import Piece, grams, mix, pieces
 #: BANDS bands of BAND_ROWS slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^42 = 3e-6.
 SLOTS, BANDS, BAND_ROWS = 256, 42, 6
 #: Slots whose low four bits travel with a bucket's members, and the least estimate by them that is worth verifying:
-#: five standard deviations under 0.8.
-SCREEN, LEAST = 128, 0.62
+#: over four standard deviations under 0.8.
+SCREEN, LEAST = 256, 0.68
 #: Members of a bucket that one task holds; larger buckets are split and their parts met pairwise.
 PART = 2048
+#: Full sets, and their bytes, that a block of the second verification holds about.
+BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
 #: Elements whose slot shuffles are held at once.
 SHUFFLED = 1 << 15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -207,15 +209,65 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two parts of a bucket (band, i, j, node, screen, component): the pairs of two components that may be links."""
-    for (_, i, j), (node, screen, component, part) in _groups(batches, 3):
-        a, group, ids, side = _unpack(screen), np.array(component), np.array(node), np.array(part)
-        rows = []
+    """Of two parts of a bucket (band, i, j, node, screen, component, part, block): the pairs of two components that
+    may be links, packed by the blocks of their nodes."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        edge = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(1)])) if len(both) else np.zeros(0, np.int64)
+        cuts = [both[m:n, 2:].tobytes() for m, n in zip(edge, [*edge[1:], len(both)][: len(edge)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(both[edge, 0]), pa.array(both[edge, 1]), pa.array(cuts, pa.binary())], names=["bx", "by", "pairs"])
+
+    for (_, i, j), (node, screen, component, part, block) in _groups(batches, 3):
+        a, group, ids, side, home = _unpack(screen), np.array(component), np.array(node), np.array(part), np.array(block, np.int64)
+        held, size = [], 0
         for k in range(len(ids)):
             other = np.flatnonzero((group != group[k]) & (ids > ids[k]) & ((side != side[k]) if i != j else True))
             if len(other):
-                rows += [(int(ids[k]), int(ids[o])) for o in other[_estimate(a[other], a[k]) >= LEAST]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], pa.int64()) for m in (0, 1)], names=["x", "y"])
+                other = other[_estimate(a[other], a[k]) >= LEAST]
+            if len(other):
+                low, high = np.minimum(home[other], home[k]), np.maximum(home[other], home[k])
+                held.append(np.stack([low, high, np.full(len(other), ids[k]), ids[other]], axis=1))
+                size += len(other)
+            if size > 500_000:
+                yield packed(held)
+                held, size = [], 0
+        yield packed(held)
+
+
+def _verify_blocks(percent: int) -> Callable:
+    def check(_: tuple, packed: pa.Table, sets: pa.Table) -> pa.Table:
+        """The links that join components, among two blocks' candidate pairs."""
+        own = {n: (c, np.frombuffer(x, np.uint64)) for n, c, x in zip(*(sets[k].to_pylist() for k in ("node", "component", "shingles")), strict=True)}
+        pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed["pairs"].to_pylist()] or [np.zeros((0, 2), np.int64)]), axis=0)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        links = []
+        for x, y in pairs.tolist():
+            if x in own and y in own:
+                (cx, p), (cy, q) = own[x], own[y]
+                a, b = root(cx), root(cy)
+                if a != b and linked(p, q, percent):
+                    up[max(a, b)] = min(a, b)
+                    links.append((x, y))
+        return pa.table({"x": pa.array([p[0] for p in links], pa.int64()), "y": pa.array([p[1] for p in links], pa.int64())})
+
+    return check
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two ascending sets."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    at = np.searchsorted(p, q)
+    both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def _sets_of(k: int) -> Callable:
@@ -235,13 +287,8 @@ def _verify(percent: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, a, b = (batch.column(c).to_pylist() for c in ("x", "y", "a", "b"))
-            linked = []
-            for p, q in zip(a, b, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.searchsorted(p, q)
-                both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(linked, pa.bool_())], names=["x", "y", "linked"])
+            told = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(told, pa.bool_())], names=["x", "y", "linked"])
 
     return emit
 
@@ -286,16 +333,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     links = tested.filter("linked").select("x", "y")
     comps = materialise(connected_components(links), "groups")
     labelled = join_checked(hits.join(sizes.select("band", "g"), "band"), comps, ["node"], "left", 32).withColumn("component", F.coalesce("component", "node"))
+    labelled = materialise(labelled, "labelled")
     open_ = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
-    parts = F.ceil(F.col("g") / PART).cast("int")
-    spread = labelled.join(open_, "band", "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    spread = spread.join(screens.select("node", "screen").dropDuplicates(["node"]), "node").select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "component", "part")
-    second = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "x long, y long").distinct()
-    both_ways = tested.select("x", "y").union(tested.select("y", "x"))
-    second = materialise(second.join(both_ways, ["x", "y"], "left_anti"), "second")
-    if not second.isEmpty():
-        wanted = materialise(second.select(F.col("x").alias("doc_id")).union(second.select("y")).distinct(), "wanted")
-        more = verified(second, _full_sets(base, screens, wanted, shingle), percent).filter("linked").select("x", "y")
+    rest = materialise(labelled.join(open_, "band", "left_semi"), "open")
+    left = materialise(rest.select("node", "component").distinct(), "left")
+    if not left.isEmpty():
+        more = _second_links(base, rest, left, screens, shingle, percent)
         comps = materialise(connected_components(links.union(more)), "groups")
     reps = some.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "s1", "s2", F.col("rep").alias("node")).distinct()
     reps = join_checked(reps, comps, ["node"], "left", 32).withColumn("component", F.coalesce("component", "node"))
@@ -309,3 +352,25 @@ def _full_sets(base: DataFrame, screens: DataFrame, wanted: DataFrame, shingle:
     """The full shingle sets of the wanted representatives, from their texts."""
     keys = materialise(screens.select(F.col("node").alias("doc_id"), "s1", "s2").join(wanted, "doc_id", "left_semi").distinct(), "keys")
     return materialise(join_checked(base, keys, ["doc_id"], "inner", 48).select("doc_id", "text", "s1", "s2").mapInArrow(_sets_of(shingle), "node long, size long, shingles binary"), "sets")
+
+
+def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components in the buckets that still hold several.
+
+    Every pair that its signatures don't rule out is verified, save those of components that a link found in the same
+    task has joined. Pairs stay packed, and full sets travel once a pair of blocks, not once a pair.
+    """
+    sets = _full_sets(base, screens, left.select(F.col("node").alias("doc_id")), shingle)
+    total = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("b")).first()
+    blocks = max(1, -(-total["n"] // BLOCK_SETS), -(-(total["b"] or 0) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks))
+    parts = F.ceil(F.col("g") / PART).cast("int")
+    spread = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("block", block)
+    spread = spread.join(screens.select("node", "screen").dropDuplicates(["node"]), "node")
+    spread = spread.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "component", "part", "block")
+    packed = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "bx long, by long, pairs binary")
+    packed = materialise(packed, "packed")
+    met = packed.select("bx", "by").distinct()
+    sides = materialise(met.select(F.col("bx").alias("block"), "bx", "by").union(met.filter("bx <> by").select(F.col("by").alias("block"), "bx", "by")), "sides")
+    held = sets.join(left, "node").withColumn("block", block).join(sides, "block").select("bx", "by", "node", "component", "shingles")
+    return materialise(packed.groupBy("bx", "by").cogroup(held.groupBy("bx", "by")).applyInArrow(_verify_blocks(percent), "x long, y long"), "second")
