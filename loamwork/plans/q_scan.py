@@ -11,7 +11,6 @@ from loamwork.operators import index, select
 from loamwork.plans.binding import FILES_SQL, RANGES_SQL, STATES_SQL, files, ranges, states, table
 from loamwork.plans.registry import duck_language, duck_list, duck_name, query
 
-PATH = F.col("path")
 WITH_FILES = f"WITH {FILES_SQL} "
 WITH_STATES = f"WITH {STATES_SQL} "
 
@@ -42,7 +41,7 @@ def sha_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 @query("language_counts", "FLT-20,FN-23,AGG-01", WITH_FILES + f"SELECT {duck_language('path')} AS language, count(*) AS n FROM files GROUP BY 1")
 def language_counts(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).groupBy(paths.language(PATH).alias("language")).agg(F.count("*").alias("n"))
+    return files(spark, d).groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
 
 
 @query("scan_summary", "AGG-01,AGG-02", WITH_FILES + f"""SELECT count(*) AS n_files, sum(size_bytes)::BIGINT AS n_bytes, count(*) FILTER (size_bytes > 4000) AS n_too_large,
@@ -50,7 +49,7 @@ def language_counts(spark: SparkSession, d: str) -> DataFrame:
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).agg(
         F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"), F.count_if(F.col("size_bytes") > 4000).alias("n_too_large"),
-        F.count_distinct(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("n_directories"), F.count_if(paths.language(PATH).isNull()).alias("n_unknown"),
+        F.count_distinct(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("n_directories"), F.count_if(paths.language(F.col("path")).isNull()).alias("n_unknown"),
     )
 
 
@@ -113,13 +112,13 @@ _TEST_RANKED = _TEST_ANY.format(r"_test\.py|\.test\.ts|\.spec\.ts")
   {_TEST_ANY.format(r'_test\.py|\.test\.js|\.spec\.js|\.test\.ts|\.spec\.ts')} AS any_test, {_TEST_RANKED} AS ranked_test,
   NOT {_TEST_RANKED} AND list_contains({duck_list(fixed.IMPLEMENTATION_EXTENSIONS)}, lower(regexp_extract(path, '([^.]*)$', 1))) AS implementation FROM files""")
 def test_paths(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select("path", paths.is_test_strict(PATH).alias("strict_test"), paths.is_test_any(PATH).alias("any_test"), paths.is_test_ranked(PATH).alias("ranked_test"), paths.is_implementation(PATH).alias("implementation"))
+    return files(spark, d).select("path", paths.is_test_strict(F.col("path")).alias("strict_test"), paths.is_test_any(F.col("path")).alias("any_test"), paths.is_test_ranked(F.col("path")).alias("ranked_test"), paths.is_implementation(F.col("path")).alias("implementation"))
 
 
 @query("package_key", "FLT-18", WITH_FILES + """SELECT path, CASE WHEN p[1] IN ('src', 'lib') AND len(p) >= 2 THEN p[1] || '/' || p[2] WHEN p[1] = 'tests' THEN CASE WHEN len(p) < 3 THEN 'tests' ELSE p[1] || '/' || p[2] END
   WHEN len(p) = 1 THEN 'repository-root' ELSE p[1] END AS package FROM (SELECT path, string_split(path, '/') AS p FROM files)""")
 def package_key(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select("path", paths.package_key(PATH).alias("package"))
+    return files(spark, d).select("path", paths.package_key(F.col("path")).alias("package"))
 
 
 _CATEGORY = rf"""CASE WHEN regexp_matches({duck_name('path')}, '^(license|copying|notice)') THEN 'license' WHEN starts_with({duck_name('path')}, 'readme') THEN 'readme'
@@ -130,7 +129,7 @@ _CATEGORY = rf"""CASE WHEN regexp_matches({duck_name('path')}, '^(license|copyin
   ELSE CASE WHEN size_bytes > 2048 THEN 192 ELSE 160 END END)::BIGINT AS output_tokens, (8 + greatest(1, least(16, ceil(size_bytes / 2048.0))))::BIGINT AS work_units FROM files""")
 def semantic_route(spark: SparkSession, d: str) -> DataFrame:
     units = 8 + F.greatest(F.lit(1), F.least(F.lit(16), F.ceil(F.col("size_bytes") / 2048.0)))
-    return files(spark, d).select("path", paths.semantic_category(PATH).alias("category"), paths.output_tokens(PATH, F.col("size_bytes"), F.lit(False), F.col("doc_id") % 7).cast("long").alias("output_tokens"), units.cast("long").alias("work_units"))
+    return files(spark, d).select("path", paths.semantic_category(F.col("path")).alias("category"), paths.output_tokens(F.col("path"), F.col("size_bytes"), F.lit(False), F.col("doc_id") % 7).cast("long").alias("output_tokens"), units.cast("long").alias("work_units"))
 
 
 RULES = [("", "default", list(fixed.DEFAULT_PATTERNS)), ("", "gitignore", ["*.md", "!src/**/*.md", "public/item_*", "docs/", "!docs/en", "*_1?.py"]), ("lib", "nested", ["*.json", "!src2/**"])]
@@ -174,17 +173,17 @@ def excluded_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("glob_match", "FLT-03", WITH_FILES + r"SELECT path FROM files WHERE regexp_matches(path, '^lib/(.*/)?item_[^/]*[0-4]\.[^/][^/]$')")
 def glob_match(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).filter(PATH.rlike(select.glob_regex("lib/**/item_*[0-4].??"))).select("path")
+    return files(spark, d).filter(F.col("path").rlike(select.glob_regex("lib/**/item_*[0-4].??"))).select("path")
 
 
 @query("fnmatch_match", "FLT-04", WITH_FILES + r"SELECT path FROM files WHERE regexp_matches(path, '^src.*_[^0-4].*\.py$')")
 def fnmatch_match(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).filter(PATH.rlike(select.fnmatch_regex("src*_[!0-4]*.py"))).select("path")
+    return files(spark, d).filter(F.col("path").rlike(select.fnmatch_regex("src*_[!0-4]*.py"))).select("path")
 
 
 @query("dir_prefixes", "FLT-16", WITH_FILES + "SELECT dir, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(p) - 1), lambda i: array_to_string(p[1:i], '/'))) AS dir FROM (SELECT string_split(path, '/') AS p FROM files)) GROUP BY dir")
 def dir_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select(F.explode(paths.ancestors(PATH)).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
+    return files(spark, d).select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
 
 
 @query("tree_preorder", "WIN-22,SNK-07", WITH_FILES + """, p AS (SELECT path, string_split(path, '/') AS p FROM files),
@@ -196,9 +195,9 @@ def tree_preorder(spark: SparkSession, d: str) -> DataFrame:
     from loamwork.operators.ranking import global_row_number
 
     f = files(spark, d).select("path")
-    folders = f.select(F.explode(paths.ancestors(PATH)).alias("path")).distinct()
+    folders = f.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
     at = F.array_join(F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("0"), x)), "\x01")
-    nodes = f.select("path", F.lit("file").alias("kind"), paths.preorder_key(PATH).alias("k")).union(folders.select("path", F.lit("directory"), at))
+    nodes = f.select("path", F.lit("file").alias("kind"), paths.preorder_key(F.col("path")).alias("k")).union(folders.select("path", F.lit("directory"), at))
     return global_row_number(nodes, "position", [F.regexp_extract("k", "^([^\x01]*(\x01[^\x01]*)?)", 1)], [F.col("k")]).select("path", "kind", "position")
 
 
@@ -241,7 +240,7 @@ def line_range_parse(spark: SparkSession, d: str) -> DataFrame:
   sum(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS n_lines FROM files GROUP BY 1""")
 def context_statistics(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return files(spark, d).groupBy(paths.language(PATH).alias("language")).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"), F.sum(F.length(t)).alias("n_chars"), F.sum(text.line_count(t)).alias("n_lines"))
+    return files(spark, d).groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"), F.sum(F.length(t)).alias("n_chars"), F.sum(text.line_count(t)).alias("n_lines"))
 
 
 def _index(name: str, ids: str, sql: str, run):
@@ -272,4 +271,4 @@ _index("benchmark_drift", "WF-08", f"SELECT count(*) FILTER (NOT ({_SAME})) AS n
 @query("stable_ids", "FN-12,WIN-08", WITH_FILES + """SELECT path, 'file:' || sha256('["file","' || path || '","' || n::VARCHAR || '"]') AS id FROM (SELECT path, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY path) AS n FROM files)""")
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).orderBy("path"))
-    return files(spark, d).select("path", n.cast("string").alias("n")).select("path", text.stable_id("file", PATH, F.col("n")).alias("id"))
+    return files(spark, d).select("path", n.cast("string").alias("n")).select("path", text.stable_id("file", F.col("path"), F.col("n")).alias("id"))

@@ -2,3 +2,4 @@
 
 from loamwork.plans import q_scan  # noqa: F401
 from loamwork.plans.registry import REGISTRY  # noqa: F401
+from loamwork.plans import q_discovery  # noqa: F401
