@@ -10,6 +10,7 @@ Characters that no piece has fall back to their UTF-8 bytes. Decoding gives back
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A character without a piece scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Distinct stretches of text whose pieces a worker remembers.
+#: Distinct stretches of text whose pieces a worker remembers, in each of two generations.
 MEMORY = 300_000
 
 
@@ -115,9 +116,12 @@ class Codec:
         else:
             self.stretch = re.compile(f" +[^ {cuts}{SPACE}]*|[^ {cuts}{SPACE}]+|[{cuts}{SPACE}]")
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bpe, self.score = pieces.bpe, {t: x for t, _, x in pieces.normal}
         self.text_of = {i: t for t, i, _ in pieces.normal}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        # No piece holds two neighbours that are not in here: a stretch can be cut between them.
+        self.joins = {t[k : k + 2] for t, _, _ in pieces.normal for k in range(len(t) - 1)}
 
     def _fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
@@ -136,87 +140,125 @@ class Codec:
 
     def stays(self, before: int, piece: int) -> bool:
         """Whether a piece behind another (-1: none, or a fallback) comes out of the merges as it is."""
-        key = (before, piece)
-        got = self.apart.get(key)
-        if got is None:
-            if len(self.apart) > 4 * MEMORY:
-                self.apart.clear()
-            parts = [self.text_of[i] for i in key if i >= 0]
-            got = self.apart[key] = self.merged("".join(parts)) == parts
+        if len(self.apart) > 3 * MEMORY:
+            self.apart.clear()
+        parts = [self.text_of[i] for i in (before, piece) if i >= 0]
+        got = self.apart[before << 32 | piece] = self.merged("".join(parts)) == parts
         return got
 
+    def path_of_merges(self, text: str) -> list[int]:
+        """The one path on which all neighbours stay apart. piece: the last piece of each prefix, -1 none or a fallback."""
+        n, apart, known = len(text), self.apart, self.single.issuperset(text)
+        piece, came = [-1] + [-2] * n, [0] * (n + 1)
+        seen = 0
+        for last, (length, _, i) in self.automaton.iter(text):
+            end = last + 1
+            if not known and seen < end:
+                self._bridge(text, piece, came, seen, end)
+                seen = end
+            if piece[end] == -2:
+                before = piece[end - length]
+                stays = apart.get(before << 32 | i)
+                if self.stays(before, i) if stays is None else stays:
+                    piece[end], came[end] = i, end - length
+        self._bridge(text, piece, came, seen, n)
+        return self._trace(text, piece, came)
+
+    def _bridge(self, text: str, piece: list[int], came: list[int], start: int, end: int) -> None:
+        for q in range(start, end):
+            if piece[q + 1] == -2 and text[q] not in self.single:
+                piece[q + 1], came[q + 1] = -1, q
+
+    def _trace(self, text: str, piece: list[int], came: list[int]) -> list[int]:
+        out: list[int] = []
+        at = len(text)
+        while at:
+            if piece[at] < 0:
+                out += reversed(self._fallback(text[came[at]]))
+            else:
+                out.append(piece[at])
+            at = came[at]
+        out.reverse()
+        return out
+
     def viterbi(self, text: str) -> list[int]:
-        """ids of the best path over one stretch; a mark that the text itself has goes by its bytes."""
-        if text == SPACE:
-            return self._fallback(text)
-        text = text.replace(" ", SPACE)
+        """The path of the greatest sum of scores; a fallback is worse than any piece."""
         n = len(text)
         best = [0.0] + [-np.inf] * n
-        came = [0] * (n + 1)
-        piece = [-1] * (n + 1)
+        piece, came = [-1] * (n + 1), [0] * (n + 1)
         seen = 0
 
         def bridge(to: int) -> None:
             for q in range(seen, to):
-                if text[q] not in self.single and (s := best[q] + (0.0 if self.bpe else self.low)) > best[q + 1]:
+                if text[q] not in self.single and (s := best[q] + self.low) > best[q + 1]:
                     best[q + 1], came[q + 1], piece[q + 1] = s, q, -1
 
         for last, (length, score, i) in self.automaton.iter(text):
             if last >= seen:
                 bridge(last + 1)
                 seen = last + 1
-            start = last + 1 - length
-            if self.bpe:
-                if best[last + 1] == 0 or not self.stays(piece[start], i):
-                    continue
-                s = 0.0
-            else:
-                s = best[start] + score
-            if s > best[last + 1]:
-                best[last + 1], came[last + 1], piece[last + 1] = s, start, i
+            if (s := best[last + 1 - length] + score) > best[last + 1]:
+                best[last + 1], came[last + 1], piece[last + 1] = s, last + 1 - length, i
         bridge(n)
-        out: list[int] = []
-        at = n
-        while at:
-            if piece[at] < 0:
-                out += reversed(self._fallback(text[came[at]]))
-            else:
-                out.append(piece[at])
-            at = came[at]
-        out.reverse()
-        return out
+        return self._trace(text, piece, came)
+
+    def solve(self, stretch: str) -> bytes:
+        """ids of one stretch, part by part; a mark that the text itself has goes by its bytes."""
+        if stretch == SPACE:
+            return array("i", self._fallback(stretch)).tobytes()
+        text, joins, memory, older = stretch.replace(" ", SPACE), self.joins, self.memory, self.older
+        best = self.path_of_merges if self.bpe else self.viterbi
+        out, start = [], 0
+        for k in range(1, len(text) + 1):
+            if k == len(text) or text[k - 1 : k + 1] not in joins:
+                part = text[start:k]
+                # parts have space marks where stretches have spaces, so that both can share the memory
+                if (got := memory.get(part)) is None:
+                    got = older.get(part) or array("i", best(part)).tobytes()
+                    if part != SPACE and k - start <= 64:
+                        memory[part] = got
+                out.append(got)
+                start = k
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The text, with a space put before it, as ids. An empty text has none."""
         if not text:
             return b""
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-        parts = self.stretch.findall(" " + text)
-        try:
-            return b"".join([memory[x] for x in parts])
-        except KeyError:
-            for x in parts:
-                if x not in memory:
-                    made = np.array(self.viterbi(x), np.int32).tobytes()
-                    if len(x) <= 64 or len(parts) == 1:
-                        memory[x] = made
-                    else:
-                        return b"".join([memory[y] if y in memory else np.array(self.viterbi(y), np.int32).tobytes() for y in parts])
-            return b"".join([memory[x] for x in parts])
+        if len(self.memory) > MEMORY:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        out = []
+        for x in self.stretch.findall(" " + text):
+            got = memory.get(x)
+            if got is None:
+                got = older.get(x) or self.solve(x)
+                if len(x) <= 64:
+                    memory[x] = got
+            out.append(got)
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in ids]).decode()[1:]
 
 
+_KEPT: list[tuple[Pieces, Codec]] = []
+
+
+def codec_of(pieces: Pieces) -> Codec:
+    """The worker's codec, kept with its memory from task to task as long as the model is the same."""
+    if not _KEPT or _KEPT[0][0] != pieces:
+        _KEPT[:] = [(pieces, Codec(pieces))]
+    return _KEPT[0][1]
+
+
 def encode(text: Column, pieces: Pieces) -> Column:
     """array<int> of the whole text's ids (null: none)."""
 
     @F.arrow_udf("array<int>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for batch in texts:
             made = [codec.encode(t or "") for t in batch.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])])
@@ -230,7 +272,7 @@ def decode(ids: Column, pieces: Pieces) -> Column:
 
     @F.arrow_udf("string")
     def of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for batch in arrays:
             yield pa.array([codec.decode(x or []) for x in batch.to_pylist()], pa.string())
 
@@ -248,7 +290,7 @@ def tokenize(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
 
     @F.arrow_udf("struct<ids: array<int>, n_tokens: bigint, round_trip: boolean>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for batch in texts:
             rows = [t or "" for t in batch.to_pylist()]
             made = [codec.encode(t) for t in rows]
