@@ -27,7 +27,7 @@ SCREEN, LEAST = 256, 0.68
 #: Members of a bucket that one task holds; larger buckets are split and their parts met pairwise.
 PART = 2048
 #: Full sets, and their bytes, that a block of the second verification holds about.
-BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
+BLOCK_SETS, BLOCK_BYTES = 4096, 16 << 20
 #: Elements whose slot shuffles are held at once.
 SHUFFLED = 1 << 15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -209,17 +209,17 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two parts of a bucket (band, i, j, node, screen, component, part, block): the pairs of two components that
-    may be links, packed by the blocks of their nodes."""
+    """Of two parts of a bucket (band, i, j, node, screen, component, part, cluster, block): the pairs of two components
+    that may be links, packed by their cluster and the blocks of their nodes."""
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(cluster: int, held: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
         edge = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(1)])) if len(both) else np.zeros(0, np.int64)
         cuts = [both[m:n, 2:].tobytes() for m, n in zip(edge, [*edge[1:], len(both)][: len(edge)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(both[edge, 0]), pa.array(both[edge, 1]), pa.array(cuts, pa.binary())], names=["bx", "by", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), cluster, np.int64)), pa.array(both[edge, 0]), pa.array(both[edge, 1]), pa.array(cuts, pa.binary())], names=["cluster", "bx", "by", "pairs"])
 
-    for (_, i, j), (node, screen, component, part, block) in _groups(batches, 3):
+    for (_, i, j), (node, screen, component, part, cluster, block) in _groups(batches, 3):
         a, group, ids, side, home = _unpack(screen), np.array(component), np.array(node), np.array(part), np.array(block, np.int64)
         held, size = [], 0
         for k in range(len(ids)):
@@ -231,9 +231,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(np.stack([low, high, np.full(len(other), ids[k]), ids[other]], axis=1))
                 size += len(other)
             if size > 500_000:
-                yield packed(held)
+                yield packed(cluster[0], held)
                 held, size = [], 0
-        yield packed(held)
+        yield packed(cluster[0], held)
 
 
 def _verify_blocks(percent: int) -> Callable:
@@ -358,19 +358,26 @@ def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: Da
     """Links between components in the buckets that still hold several.
 
     Every pair that its signatures don't rule out is verified, save those of components that a link found in the same
-    task has joined. Pairs stay packed, and full sets travel once a pair of blocks, not once a pair.
+    task has joined. Pairs stay packed. Nodes that buckets connect form a cluster, and full sets travel once a pair of
+    blocks of their cluster: once in all for most, and never once a pair.
     """
+    least = rest.groupBy("band").agg(F.min("node").alias("least"))
+    clusters = connected_components(rest.join(least, "band").select("node", "least").filter("node <> least").distinct())
+    left = left.join(clusters.select("node", F.col("component").alias("cluster")), "node")
     sets = _full_sets(base, screens, left.select(F.col("node").alias("doc_id")), shingle)
-    total = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("b")).first()
-    blocks = max(1, -(-total["n"] // BLOCK_SETS), -(-(total["b"] or 0) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks))
+    own = sets.dropDuplicates(["node"]).join(left, "node")
+    large = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
+    large = materialise(large, "large")
+    blocked = join_checked(left, large, ["cluster"], "left", 32).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("long")).drop("blocks")
+    blocked = materialise(blocked, "blocked")
     parts = F.ceil(F.col("g") / PART).cast("int")
-    spread = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("block", block)
-    spread = spread.join(screens.select("node", "screen").dropDuplicates(["node"]), "node")
-    spread = spread.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "component", "part", "block")
-    packed = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "bx long, by long, pairs binary")
+    spread = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = spread.join(screens.select("node", "screen").dropDuplicates(["node"]), "node").join(blocked.select("node", "cluster", "block"), "node")
+    spread = spread.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "component", "part", "cluster", "block")
+    packed = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "cluster long, bx long, by long, pairs binary")
     packed = materialise(packed, "packed")
-    met = packed.select("bx", "by").distinct()
-    sides = materialise(met.select(F.col("bx").alias("block"), "bx", "by").union(met.filter("bx <> by").select(F.col("by").alias("block"), "bx", "by")), "sides")
-    held = sets.join(left, "node").withColumn("block", block).join(sides, "block").select("bx", "by", "node", "component", "shingles")
-    return materialise(packed.groupBy("bx", "by").cogroup(held.groupBy("bx", "by")).applyInArrow(_verify_blocks(percent), "x long, y long"), "second")
+    met = packed.select("cluster", "bx", "by").distinct()
+    sides = materialise(met.select("cluster", F.col("bx").alias("block"), "bx", "by").union(met.filter("bx <> by").select("cluster", F.col("by").alias("block"), "bx", "by")), "sides")
+    held = sets.join(blocked, "node").join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "node", "component", "shingles")
+    keys = ("cluster", "bx", "by")
+    return materialise(packed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_verify_blocks(percent), "x long, y long"), "second")
