@@ -26,16 +26,15 @@ PART = 2048
 
 @dataclass(frozen=True)
 class Index:
-    """mean, rotations (dimensions x bits each), bits of a table's key, tables, and the most code bits a link may differ in."""
+    """Rotations (dimensions x bits each), bits of a table's key, tables, and the most code bits a link may differ in."""
 
-    mean: np.ndarray
     rotations: list[np.ndarray]
     key_bits: int
     tables: int
     most: int
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([(x - self.mean) @ r > 0 for r in self.rotations], axis=1)
+        return np.concatenate([x @ r > 0 for r in self.rotations], axis=1)
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
         """Each table's key: its own run of key_bits bits of one rotation's code, with the table's number above."""
@@ -65,6 +64,7 @@ def fit(sample: np.ndarray, rows: int, cosine: float, seed: int = 7) -> Index:
     """Rotations from unit vectors; key bits follow log2(rows), tables the recall at the threshold.
 
     A bit of two vectors at angle a differs with probability a / pi; a table finds them if none of its key_bits does.
+    Vectors are not centred: planes through the origin keep that true, however far from it the corpus lies.
     """
     rng = np.random.default_rng(seed)
     width = min(CODE_BITS, sample.shape[1])
@@ -72,13 +72,12 @@ def fit(sample: np.ndarray, rows: int, cosine: float, seed: int = 7) -> Index:
     key_bits = min(width, 24, max(8, round(math.log2(max(2, rows))) - 4))
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - q) ** key_bits))
     n = math.ceil(tables / (width // key_bits))
-    mean = sample.mean(0)
     rotations = []
     for _ in range(n):
-        own = sample[rng.integers(0, len(sample), max(1, len(sample) // 2))] - mean
+        own = sample[rng.integers(0, len(sample), max(1, len(sample) // 2))]
         rotations.append(rotation(own, width, rng))
     bits = n * width
-    return Index(mean, rotations, key_bits, tables, min(bits, math.ceil(bits * q + 7 * math.sqrt(bits * q * (1 - q)) + 4)))
+    return Index(rotations, key_bits, tables, min(bits, math.ceil(bits * q + 7 * math.sqrt(bits * q * (1 - q)) + 4)))
 
 
 def unit(rows: list[list[float]]) -> np.ndarray:

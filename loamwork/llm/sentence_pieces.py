@@ -203,9 +203,7 @@ class Codec:
         return self._trace(text, piece, came)
 
     def solve(self, stretch: str) -> bytes:
-        """ids of one stretch, part by part; a mark that the text itself has goes by its bytes."""
-        if stretch == SPACE:
-            return array("i", self._fallback(stretch)).tobytes()
+        """ids of one stretch without space marks of its own, part by part."""
         text, joins, memory, older = stretch.replace(" ", SPACE), self.joins, self.memory, self.older
         best = self.path_of_merges if self.bpe else self.viterbi
         out, start = [], 0
@@ -215,7 +213,7 @@ class Codec:
                 # parts have space marks where stretches have spaces, so that both can share the memory
                 if (got := memory.get(part)) is None:
                     got = older.get(part) or array("i", best(part)).tobytes()
-                    if part != SPACE and k - start <= 64:
+                    if k - start <= 64:
                         memory[part] = got
                 out.append(got)
                 start = k
@@ -229,8 +227,12 @@ class Codec:
             self.memory, self.older = {}, self.memory
         memory, older = self.memory, self.older
         out = []
+        marked = SPACE in text
         for x in self.stretch.findall(" " + text):
             got = memory.get(x)
+            if marked and x == SPACE:  # the memory has it as a space; the text's own mark goes by its bytes
+                out.append(array("i", self._fallback(x)).tobytes())
+                continue
             if got is None:
                 got = older.get(x) or self.solve(x)
                 if len(x) <= 64:

@@ -80,7 +80,7 @@ def _sketch(width_bits: int):
         block = done >> (1 + _BLOCK_BITS)
         edge = np.flatnonzero(np.diff(block, prepend=-1))
         names, once, more = [], [], []
-        for a, b in zip(edge, [*edge[1:], len(done)], strict=True):
+        for a, b in zip(edge, [*edge[1:], len(done)][: len(edge)], strict=True):
             own = done[a:b]
             low = ((own >> 1) & ((1 << _BLOCK_BITS) - 1)).astype(np.uint16)
             names.append(int(block[a]))
