@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _class(pattern: str, i: int) -> tuple[str, int] | None:
-    """The regex of a bracket expression that begins at i, and where it ends."""
-    end = pattern.find("]", i + 2 if pattern[i + 1 : i + 2] in ("!", "^", "]") else i + 1)
+def _class(pattern: str, i: int, negation: str = "!^") -> tuple[str, int] | None:
+    """The regex of a bracket expression that begins at i, and where it ends; None if it is not closed.
+
+    A range that runs backwards holds nothing. What a slash may match is up to the caller.
+    """
+    at = i + 1
+    negated = pattern[at : at + 1] in negation and at < len(pattern)
+    at += negated
+    end = pattern.find("]", at + 1 if pattern[at : at + 1] == "]" else at)
     if end < 0:
         return None
-    body = pattern[i + 1 : end]
-    if not body:
-        return None
-    negated = body[0] in "!^"
-    body = (body[1:] if negated else body).replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&&", "&\\&")
-    return f"[{'^' if negated else ''}{body}]", end + 1
+    body, items, k = pattern[at:end], "", 0
+    one = lambda c: c if c.isalnum() else f"\\{c}"
+    while k < len(body):
+        low, high = (body[k], body[k + 2]) if body[k + 1 : k + 2] == "-" and k + 2 < len(body) else (body[k], body[k])
+        if low <= high:
+            items += one(low) + (f"-{one(high)}" if high > low else "")
+        k += 3 if body[k + 1 : k + 2] == "-" and k + 2 < len(body) else 1
+    if not items:
+        return ("[\\s\\S]" if negated else "(?!)"), end + 1
+    return f"[{'^' if negated else ''}{items}]", end + 1
 
 
 def glob_regex(pattern: str) -> str:
@@ -54,7 +64,7 @@ def _gitwild(pattern: str) -> str:
             elif c == "?":
                 out += "[^/]"
             elif c == "[" and (got := _class(part, i)):
-                out += got[0] if got[0].startswith("[^") is False else got[0][:-1] + "/]"
+                out += f"(?!/){got[0]}"
                 i = got[1] - 1
             elif c == "\\" and i + 1 < len(part):
                 i += 1
@@ -71,7 +81,7 @@ def fnmatch_regex(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
-        if c == "[" and (got := _class(pattern, i)):
+        if c == "[" and (got := _class(pattern, i, "!")):
             out, i = out + got[0], got[1]
             continue
         out += ".*" if c == "*" else "." if c == "?" else re.escape(c)

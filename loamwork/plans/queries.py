@@ -1,7 +1,4 @@
 """All registered queries."""
 
-from loamwork.plans import q_scan  # noqa: F401
+from loamwork.plans import q_discovery, q_edges, q_more, q_runs, q_scan  # noqa: F401
 from loamwork.plans.registry import REGISTRY  # noqa: F401
-from loamwork.plans import q_discovery  # noqa: F401
-from loamwork.plans import q_edges  # noqa: F401
-from loamwork.plans import q_runs  # noqa: F401
