@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labelled ones among them, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"))
-    return docs.filter(toxicity.score(F.col("text"), chain)["toxic"] < 0.5)
+    return docs.filter(toxicity.score(F.col("text"), chain)["toxic"] < 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
