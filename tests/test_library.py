@@ -207,3 +207,38 @@ def test_streamed_streaks_equal_batch(spark, tmp_path):
     q = repeated_actions(stream).writeStream.format("memory").queryName("streaks").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("streaks").collect())) == sorted(map(tuple, want))
+
+
+def test_handoff_of_a_tree(spark, tmp_path):
+    from loamwork.plans import handoff
+
+    _tree(tmp_path, {
+        "src/app/server.py": b"from app.config import load\nimport app.util\n\ndef start_server(port):\n    return load(port)\n", "src/app/config.py": b"def load(x):\n    return x\n", "src/app/util.py": b"LIMIT = 1\n",
+        "src/app/big.py": b"# server start\n" * 200, "tests/test_server.py": b"from app.server import start_server\n", "LICENSE": b"MIT License\n", "docs/start.md": b"# start\n",
+    })
+    got = handoff.discover(spark, str(tmp_path), "trace the server start and the config settings", limits=handoff.Limits(files=4, source_bytes=1500), excludes=(("directory", "docs"),))
+    selected = {r.path for r in got.selected.collect()}
+    assert {"src/app/server.py", "src/app/config.py"} <= selected and not {"src/app/big.py", "docs/start.md", "LICENSE"} & selected
+    warned = {(r.code, r.path, r.related) for r in got.warnings.collect()}
+    if "src/app/util.py" not in selected:
+        assert ("direct-import-omitted", "src/app/server.py", "src/app/util.py") in warned
+    assert {r.path for r in got.sections.collect()} == selected
+    packages = {r.package: r for r in handoff.overview(got.scan["files"], got.facts).collect()}
+    assert packages["src/app"].n_files == 4 and packages["src/app"].n_entry_points == 1 and packages["tests"].n_tests == 1
+    got.release()
+    assert [handoff.gate(*x) for x in ((0, 3, False), (2, 1, False), (2, 1, True), (2, 0, False))] == ["correct", "review", "final", "final"]
+
+
+def test_logs_hide_secrets():
+    from loamwork.functions import logs
+
+    try:
+        try:
+            raise KeyError("https://u:p@h/?token=abc")
+        except KeyError as e:
+            raise ValueError("Bearer abc.def\nnext") from e
+    except ValueError as e:
+        told = logs.safe_error(e, "bad", stack=True)
+    assert told["message"] == "Bearer [REDACTED] next" and told["causes"][0]["type"] == "KeyError" and "abc" not in json.dumps(told["causes"]) and told["stack"]
+    line = json.loads(logs.record("a.b", "e", "m", {"password": "x", "deep": {"a": {"b": {"c": {"d": {"e": 1}}}}}}))
+    assert line["data"]["password"] == "[REDACTED]" and "[...]" in json.dumps(line) and logs.record("a", "e", "m", {"k": 1}, form="plain") == "INFO a e: m k=1"
