@@ -58,12 +58,13 @@ def first_reusable(current: DataFrame, manifests: list[DataFrame]) -> DataFrame:
     return both.groupBy(F.col("c.path").alias("path")).agg(F.min("m.place").alias("place"))
 
 
-def ordered_digest(rows: DataFrame, order: str, record: Column, chunks: int = 256) -> DataFrame:
-    """One row: SHA-256 of the records' hashes in order, of at most `chunks` ranges by the first characters of order.
-
-    Hashing a hash a record keeps what one task gathers at 64 bytes a row.
-    """
-    return rows.select(F.col(order).alias("o"), F.sha2(record, 256).alias("h")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ","), 256).alias("digest"))
+def ordered_digest(rows: DataFrame, path: str, record: Column) -> DataFrame:
+    """One row: the digest of a tree. A directory's digest is SHA-256 of its records' hashes in path order, the tree's
+    that of (directory, digest) pairs in order, so that a task gathers one directory, or a row a directory."""
+    hashed = rows.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("d"), F.col(path).alias("o"), F.sha2(record, 256).alias("h"))
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ","), 256)
+    folders = hashed.groupBy("d").agg(joined("o", "h").alias("h")).select("d", F.concat_ws(":", "d", "h").alias("h"))
+    return folders.agg(joined("d", "h").alias("digest"))
 
 
 def statistics(states: DataFrame) -> DataFrame:
