@@ -109,12 +109,10 @@ def host_rates(flagged: DataFrame, host: str, r: Rules) -> DataFrame:
     """
     hosts = flagged.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     hosts = materialise(hosts.filter(F.col(host).isNotNull()), "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("k"), F.sum(F.col("n").cast("double") ** 2).alias("n2"))
-    spread = hosts.crossJoin(F.broadcast(total.select(F.expr("f / n").alias("m"))))  # one row, the pooled rate
-    q = spread.agg(F.sum(F.expr("n * pow(n_failed / n - m, 2)")).alias("q")).first()["q"] or 0.0
-    t = total.first()
+    t = hosts.agg(F.sum("n").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("k"), F.sum(F.col("n").cast("double") ** 2).alias("n2")).first()
     n, k = t["n"] or 0, t["k"]
     m = (t["f"] or 0) / n if n else 0.0
+    q = hosts.agg(F.sum(F.col("n") * F.pow(F.col("n_failed") / F.col("n") - F.lit(m), 2)).alias("q")).first()["q"] or 0.0
     strength = r.prior_floor
     if k > 1 and 0 < m < 1:
         # E q = m (1-m) [ (k-1) + rho (n - n2/n - (k-1)) ], rho = 1 / (s + 1)
