@@ -36,6 +36,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points at one root and no root points on."""
+    several = edges.groupBy("a").count().filter("count > 1").select("a")
+    onward = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
+    return several.union(onward).isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node long, component long), component the smallest node reachable.
 
@@ -47,18 +54,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).filter("a <> b")
     edges = materialise(edges.mapInArrow(_forest, "a long, b long"), "forest")
     for _ in range(rounds):
+        if _settled(edges):
+            break
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.filter("a <> b").distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        small = materialise(small.filter("a <> b").distinct(), "small")
-        # Done once every node points at one root and no root points on.
-        open_nodes = small.groupBy("a").count().filter("count > 1").select("a").union(small.select(F.col("b").alias("a")).distinct().join(small.select("a").distinct(), "a", "left_semi"))
-        edges = small
-        if open_nodes.isEmpty():
-            break
+        edges = materialise(small.filter("a <> b").distinct(), "small")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
