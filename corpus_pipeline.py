@@ -38,7 +38,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows ordered by the mix of sources."""
-    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
+    return mixing.in_order(mixing.mix(docs), rows_per_file=5_000).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
