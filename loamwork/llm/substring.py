@@ -10,6 +10,7 @@ with several different runs are resolved window by window.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,7 @@ def _sketch(width_bits: int):
                 for row, c in enumerate(cells(anchor[one], width_bits)):
                     held.append(c + (row << width_bits))
                     size += len(c)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 done, size = settle(), 0
         done = settle()
         block = done >> (1 + _BLOCK_BITS)
@@ -169,20 +170,23 @@ def removed_runs(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        runs = batch.column("runs")
+        at = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        start, n = (runs.flatten().field(k).to_numpy().astype(np.int64) for k in ("start", "n"))
         total, gone, kept = [], [], []
-        for text, cut in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            words = (text or "").encode().split()
+        for i, text in enumerate(batch.column("text")):
+            words = (text.as_py() or "").encode().split()
             total.append(len(words))
-            if cut:
+            if at[i + 1] > at[i]:
+                own = slice(at[i], at[i + 1])
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.array([x["start"] for x in cut])
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + np.array([x["n"] for x in cut]) + WINDOW - 1, -1)
-                inside = np.cumsum(edge)[:-1] > 0
-                words = [w for w, x in zip(words, inside.tolist(), strict=True) if not x]
+                np.add.at(edge, start[own], 1)
+                np.add.at(edge, start[own] + n[own] + WINDOW - 1, -1)
+                words = list(itertools.compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
             gone.append(total[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            kept.append(b" ".join(words))
+        made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width_bits: int = WIDTH_BITS) -> DataFrame:
