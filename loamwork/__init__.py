@@ -1,0 +1 @@
+"""A PySpark-native engine over the facts of source repositories."""
