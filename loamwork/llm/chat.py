@@ -55,7 +55,7 @@ LAYOUTS = (
     Layout("messages", each=("messages", "role", "content"), roles=NAMES),
     Layout("message_texts", each=("messages", "role", "text"), roles=NAMES),
     Layout("conversations", each=("conversations", "from", "value"), roles=NAMES),
-    Layout("turn_row", turns=(("$role", "text"),), roles=NAMES),
+    Layout("turn_row", turns=(("$role", "text"),)),
     Layout("prompt_completion", turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=frozenset({"system"})),
     Layout("prompt_response", turns=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=frozenset({"system"})),
     Layout("question_answer", turns=(("system", "context"), ("user", "question"), ("assistant", "answer")), optional=frozenset({"context"})),
