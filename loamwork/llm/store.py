@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df's rows on the executors' disks for several readers, with its lineage: what a lost executor held is computed
+    anew. For tables that a written one is a step behind; it spares the shared folder their files."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def prepare(spark: SparkSession) -> None:
     """Ready the session for Python stages: batch bounds, unless it has its own, and a worker path to this package."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import materialise, prepare
+from loamwork.llm.store import hold, materialise, prepare
 from loamwork.llm.text import WORD_POWERS, Piece, grams, mix, pieces, sliding_min
 
 WINDOW, GRAM = 50, 25
@@ -151,7 +151,7 @@ def candidate_runs(docs: DataFrame, bits: np.ndarray, width_bits: int) -> DataFr
 def removed_runs(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
     """(doc, tid, text) -> (doc, tid, runs array of (start, n)): first windows of the runs to remove, by document."""
     found = materialise(candidate_runs(docs, repeated_cells(docs, width_bits), width_bits), "runs")
-    same = materialise(found.groupBy("v", "k").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "equal")
+    same = hold(found.groupBy("v", "k").agg(F.min("doc").alias("least"), F.max("doc").alias("most")))
     several = same.groupBy("v").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("v", F.lit(True).alias("several"))
     told = same.join(several, "v", "left").filter("several or least < most").withColumn("several", F.coalesce("several", F.lit(False)))
     # all of a run in a later document goes; the first document's windows may still lie in another run of the anchor
@@ -159,7 +159,7 @@ def removed_runs(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
     each = F.transform("w", lambda x, i: F.struct(x.alias("h"), (F.col("start") + i).alias("start"), F.lit(1).alias("n")))
     part = F.when(F.col("doc") > F.col("least"), whole).when(F.col("several"), each)
     laid = found.join(told, ["v", "k"]).select("doc", "tid", "v", F.explode(part).alias("x")).select("doc", "tid", "v", "x.*")
-    laid = materialise(laid, "windows")
+    laid = hold(laid)
     single = laid.filter("h is not null")
     least = single.groupBy("v", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("v", "h", "least")
     later = single.join(least, ["v", "h"]).filter("doc > least")
@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cover = materialise(removed_runs(base.select("doc", "tid", "text"), width_bits), "cover")
+    cover = removed_runs(base.select("doc", "tid", "text"), width_bits)
     joined = base.join(cover.hint("merge"), ["doc", "tid"], "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
