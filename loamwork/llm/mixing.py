@@ -2,67 +2,98 @@
 
 Each source's documents form blocks. A source of weight w gives its i-th block the release time floor(i / w) and the
 deadline ceil((i + 1) / w); earliest deadline first then fills one slot after another, and at any time a source is
-within one block of its share (Baruah et al. 1996). With weights in whole slots of a hyperperiod the schedule repeats,
-so the driver works out one hyperperiod and every block finds its slot by arithmetic.
+within one block of its share (Baruah et al. 1996). The weights are taken as the exact ratios that they are, and the
+period is their common denominator, so no rounding adds up however long the mix. The driver works out a phase or a
+period, whichever is shorter, and every block finds its slot by its source and number: eight bytes a block.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from array import array
 from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamwork.llm.store import materialise
+from loamwork.llm.store import BROADCAST_BYTES, materialise
 
 #: Most sources that a mix may have: the schedule, a few numbers a source, phase and slot, is on the driver and broadcast.
 MAX_SOURCES = 256
 #: Documents of a source that are ordered in one task.
 BUCKET_ROWS = 2_000
+#: Blocks of a source whose slots travel in one row.
+CHUNK = 256
+#: Bound on a common denominator; weights that need a larger one are taken to this many parts of their sum.
+MOST_PARTS = 1 << 62
+
+
+class Slots:
+    """A source's slots over a period, worked out as far as its phase goes; len() is their number over the whole period."""
+
+    def __init__(self, share: int):
+        self.share, self.known = share, array("q")
+
+    def __len__(self) -> int:
+        return self.share
+
+    def __getitem__(self, i: int) -> int:
+        return self.known[i]
 
 
 @dataclass(frozen=True)
 class Phase:
-    """From start_slot on, source's blocks from first to last (exclusive) lie at slots[i % a] + (i // a) * period, i counted from first."""
+    """From start_slot on, source's blocks from first to last (exclusive) lie at slots[i % a] + (i // a) * period, i counted
+    from first; a, the number of slots, is exactly the source's weight of the period."""
 
     source: str
     first: int
     last: int
     start_slot: int
     period: int
-    slots: list[int]
+    slots: Slots
 
 
-def whole_slots(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as whole slots of the period, one at least each, by largest remainder (ties by name)."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The least integers in the exact ratios of the weights; only where their sum passes MOST_PARTS, the nearest below it."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    if sum(whole.values()) > MOST_PARTS:
+        whole = {s: max(1, math.floor(x / total * (MOST_PARTS - len(exact)))) for s, x in exact.items()}
+    least = math.gcd(*whole.values())
+    return {s: n // least for s, n in whole.items()}
 
 
-def hyperperiod(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks over one period, by earliest deadline among the released."""
+def hyperperiod(shares: dict[str, int], blocks: dict[str, int]) -> tuple[dict[str, Slots], int]:
+    """Slots of each source's blocks, by earliest deadline among the released, over one period or until a source has no
+    block left, and how many slots that are."""
     period = sum(shares.values())
-    slots: dict[str, list[int]] = {s: [] for s in shares}
+    slots = {s: Slots(n) for s, n in shares.items()}
     waiting = [(0, s) for s in sorted(shares)]  # next release
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    for t in range(period):
+    t, over = 0, False
+    while t < period and not over:
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // shares[s]), s))
+            heapq.heappush(ready, (-(-(len(slots[s].known) + 1) * period // shares[s]), s))
         deadline, s = heapq.heappop(ready)
         assert t < deadline, "an earliest-deadline schedule of full use misses no deadline"
-        slots[s].append(t)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // shares[s], s))
-    return slots
+        known = slots[s].known
+        known.append(t)
+        t += 1
+        over = len(known) == blocks[s]
+        if len(known) < shares[s]:
+            heapq.heappush(waiting, (len(known) * period // shares[s], s))
+    return slots, t
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
@@ -74,14 +105,14 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
     left = {s: n for s, n in blocks.items() if n > 0}
     done, slot, out = dict.fromkeys(left, 0), 0, []
     while left:
-        period = max(1000, 16 * len(left))
-        shares = whole_slots({s: weights[s] for s in left}, period)
-        slots = hyperperiod(shares)
-        ends = {s: (n - 1) // shares[s] * period + slots[s][(n - 1) % shares[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
+        shares = whole_shares({s: weights[s] for s in left})
+        period = sum(shares.values())
+        slots, length = hyperperiod(shares, left)
+        if all(len(slots[s].known) < n for s, n in left.items()):  # a whole period, which repeats
+            length = min((n - 1) // shares[s] * period + slots[s][(n - 1) % shares[s]] + 1 for s, n in left.items())
         for s in sorted(left):
             rounds, rest = divmod(length, period)
-            n = min(left[s], rounds * shares[s] + sum(x < rest for x in slots[s]))
+            n = rounds * shares[s] + bisect.bisect_left(slots[s].known, rest)
             out.append(Phase(s, done[s], done[s] + n, slot, period, slots[s]))
             done[s] += n
             left[s] -= n
@@ -90,6 +121,22 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
     return out
 
 
+def slot_table(phases: list[Phase]) -> pa.Table:
+    """(mix_key, mix_chunk, mix_slots): the slots of a source's blocks from mix_chunk * CHUNK on, CHUNK a row at most."""
+    own: dict[str, list[np.ndarray]] = {}
+    for p in phases:
+        if p.last > p.first:
+            i, known = np.arange(p.last - p.first), np.asarray(p.slots.known)
+            own.setdefault(p.source, []).append(p.start_slot + (known[i % p.slots.share] + i // p.slots.share * p.period))
+    keys, chunks, slots = [], [], []
+    for s, parts in own.items():
+        whole = np.concatenate(parts)
+        for k in range(0, len(whole), CHUNK):
+            keys.append(s), chunks.append(k // CHUNK), slots.append(whole[k : k + CHUNK])
+    schema = pa.schema([("mix_key", pa.string()), ("mix_chunk", pa.int64()), ("mix_slots", pa.list_(pa.int64()))])
+    return pa.table([pa.array(keys, pa.string()), pa.array(chunks, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], schema=schema)
+
+
 def target_weights(counts: dict[str, int], temperature: float = 0.5) -> dict[str, float]:
     """Shares proportional to each source's size to the power of the temperature."""
     return {s: n**temperature for s, n in counts.items()}
@@ -129,15 +176,12 @@ def mix(docs: DataFrame, block: int = 64, weights: dict[str | None, float] | Non
         offsets = F.broadcast(offsets)
     placed = ranked.join(offsets, ["mix_key", "mix_bucket"]).withColumn("mix_index", F.col("mix_before") + F.col("mix_rank"))
     phases = schedule({k: -(-n // block) for k, n in counts.items()}, share)
-    table = spark.createDataFrame(
-        [(p.source, p.first, p.last, p.start_slot, p.period, p.slots) for p in phases if p.last > p.first],
-        "mix_key string, mix_first long, mix_last long, mix_start long, mix_period long, mix_slots array<int>",
-    )
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_index") / block).cast("long"))
-    # at most MAX_SOURCES phases a source
-    placed = placed.join(F.broadcast(table), (placed["mix_key"] == table["mix_key"]) & (F.col("mix_block") >= F.col("mix_first")) & (F.col("mix_block") < F.col("mix_last"))).drop(table["mix_key"])
-    i, n = F.col("mix_block") - F.col("mix_first"), F.size("mix_slots")
-    slot = F.col("mix_start") + F.floor(i / n) * F.col("mix_period") + F.element_at("mix_slots", (i % n + 1).cast("int"))
+    placed = placed.withColumn("mix_chunk", F.floor(F.col("mix_block") / CHUNK).cast("long"))
+    table = spark.createDataFrame(slot_table(phases))
+    table = F.broadcast(table) if 8 * sum(p.last - p.first for p in phases) <= BROADCAST_BYTES else table.hint("merge")
+    placed = placed.join(table, ["mix_key", "mix_chunk"])
+    slot = F.element_at("mix_slots", (F.col("mix_block") % CHUNK + 1).cast("int"))
     out = placed.withColumn("mix_slot", slot.cast("long")).withColumn("mix_offset", F.col("mix_index") % block)
     out = out.withColumn("mix_position", F.col("mix_slot") * block + F.col("mix_offset"))
     return out.select("mix_row.*", "mix_slot", "mix_offset", "mix_position")

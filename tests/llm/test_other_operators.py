@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -123,6 +124,23 @@ def test_schedule_is_whole_and_within_a_block(sources):
                 assert abs(done[p.source] - (t + 1) * len(p.slots) / p.period) < 1
 
 
+@pytest.mark.parametrize("longest", [5_000, 60_000])
+def test_schedule_stays_within_a_block_of_the_target_weights(longest):
+    blocks = {f"s{i}": longest // 38 for i in range(19)} | {"hot": longest // 2}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    phases = mixing.schedule(blocks, weights)
+    place = {}
+    for p in phases:
+        for i in range(p.last - p.first):
+            place[p.start_slot + i // len(p.slots) * p.period + p.slots[i % len(p.slots)]] = p.source
+    first = {p.source: p.last for p in phases if p.start_slot == 0}
+    total, done = sum(exact[s] for s in first), Counter()
+    for t in range(sum(first.values())):
+        done[place[t]] += 1
+        assert abs(done["hot"] - (t + 1) * exact["hot"] / total) < 1 and abs(done[place[t]] - (t + 1) * exact[place[t]] / total) < 1
+
+
 def test_mix_places_every_row_once(spark):
     rows = [(i, f"t{i}", ["a", "a", "a", "b", "c", None][i % 6]) for i in range(700)] + [(None, None, "a"), (5, "t5", "a"), (5, "t5", "a")]
     d = docs(spark, rows)
