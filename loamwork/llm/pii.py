@@ -1,14 +1,13 @@
 """Personal data: spans by pattern, and terms that give protected entities away.
 
 Patterns find emails, IP addresses, card and phone numbers: the protected entities. Over the whole corpus, a term's
-pointwise mutual information with an entity, against the entity's own information, says how strongly the term reveals
-it (C-sanitisation, Sanchez and Batet 2016). Terms over the threshold are generalised near the entity, stronger ones
-removed.
+pointwise mutual information with an entity, by documents that hold both, against the entity's own information, says
+how strongly the term reveals it (C-sanitisation, Sanchez and Batet 2016). Terms over the threshold are generalised
+wherever they stand in the entity's documents, stronger ones removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,12 +31,11 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: characters on either side of an entity in which terms are weighed. least_docs: distinct contexts that
-    must hold the entity and the term. generalise, remove: thresholds on PMI(entity; term) / IC(entity), one meaning
-    that the term is seen with the entity only."""
+    """prior: documents without the entity that every term is taken to have besides those counted, so that a term seen once
+    or twice says less than one seen often. generalise, remove: thresholds on the smoothed PMI(entity; term) / IC(entity),
+    which nears one as the term is seen with the entity only, in ever more documents."""
 
-    window: int = 80
-    least_docs: int = 3
+    prior: float = 4.0
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -86,100 +84,111 @@ def entity(kind: int, text: str) -> str:
     return f"{KINDS[kind]}:{text.lower() if kind < 2 else ''.join(_DIGIT.findall(text))}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Each entity with the terms around its spans that no span touches: (entity, [(term, start, end)])."""
-    out = []
-    for start, kind, end in spans:
-        low, high = max(0, start - window), min(len(text), end + window)
-        near = []
-        for m in _TERM.finditer(text, low, high):
-            a, b = m.span()
-            cut = a == low and low and text[low - 1].isalpha() or b == high and high < len(text) and text[high].isalpha()
-            if not cut and all(b <= s or a >= e for s, _, e in spans):
-                near.append((m[0].lower(), a, b))
-        out.append((entity(kind, text[start:end]), near))
-    return out
-
-
-FOUND = "kinds array<int>, starts array<int>, ends array<int>, near array<struct<entity: string, context: long, terms: array<struct<term: string, a: int, b: int>>>>"
-
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms of the text that no span touches; spans sorted."""
+    k, reach = 0, 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if a >= reach:
+            yield m[0].lower(), a, b
 
-def _find(window: int):
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("a", pa.int32()), ("b", pa.int32())])))]))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, near = [], []
-            for text in batch.column("text").to_pylist():
-                own = base_spans(text) if text else []
-                spans.append(own)
-                told = contexts(text, own, window) if own else []
-                near.append([{"entity": e, "context": int.from_bytes(hashlib.blake2b(" ".join(t for t, _, _ in terms).encode(), digest_size=8).digest(), "little", signed=True), "terms": [{"term": t, "a": a, "b": b} for t, a, b in terms]} for e, terms in told])
-            made = [pa.array([[x[j] for x in s] for s in spans], pa.list_(pa.int32())) for j in (1, 0, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made, pa.array(near, near_type)], names=[*batch.schema.names[:-1], "kinds", "starts", "ends", "near"])
+FOUND = "kinds array<int>, starts array<int>, ends array<int>, entities array<string>, terms array<string>"
 
-    return emit
 
-
-def find(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """(doc_id, tid, tid2, text) -> doc_id, tid, tid2, the base spans and the entities' contexts; no text."""
-    return docs.select("doc_id", "tid", "tid2", "text").mapInArrow(_find(rule.window), f"doc_id long, tid long, tid2 int, {FOUND}")
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans, entities, terms = [], [], []
+        for text in batch.column("text").to_pylist():
+            own = base_spans(text) if text else []
+            spans.append(own)
+            entities.append(sorted({entity(kind, text[a:b]) for a, kind, b in own}))
+            terms.append(sorted({t for t, _, _ in outside(text, own)}) if own else [])
+        made = [pa.array([[x[j] for x in s] for s in spans], pa.list_(pa.int32())) for j in (1, 0, 2)]
+        made += [pa.array(x, pa.list_(pa.string())) for x in (entities, terms)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "kinds", "starts", "ends", "entities", "terms"])
 
 
-def _occurrences(names: list[str]):
-    wanted = frozenset(names)
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, tid2, text) -> doc_id, tid, tid2, the base spans, and where there are any the document's distinct
+    entities and terms; no text."""
+    return docs.select("doc_id", "tid", "tid2", "text").mapInArrow(_find, f"doc_id long, tid long, tid2 int, {FOUND}")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    total.update(wanted.intersection(_TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    return emit
+def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: Counter = Counter()
 
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["term", "n"])
 
-def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            total.update(set(_TERM.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+            for t in set(_TERM.findall((text or "").lower())):
+                total[t] += 1 / copies
+        if len(total) > 200_000:
+            yield flush()
+            total.clear()
+    yield flush()
 
 
-def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term) -> (term, n): documents of the whole corpus that have it. Few terms travel to the texts; many are joined."""
-    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        counts = docs.select("text").mapInArrow(_occurrences([r["term"] for r in terms.collect()]), "term string, n long")
-    else:
-        counts = docs.select("text").mapInArrow(_all_terms, "term string, n long")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"))
-    return counts if size <= BROADCAST_BYTES else counts.join(terms, "term", "left_semi")
+def term_documents(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n): distinct texts of the whole corpus that have it; each of k copies counts for a k-th."""
+    counted = join_checked(docs.select("tid", "tid2", "text"), copies, ["tid", "tid2"], "left", 64).select("text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    return counted.mapInArrow(_all_terms, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
     """(entity, term, disclosure): the pairs at or over the generalise threshold.
 
-    With N documents, n(e), n(t) and n(e, t) of them holding the entity, the term, and the term near the entity,
-    PMI = ln(n(e, t) N / (n(e) n(t))) and IC = ln(N / n(e)). Contexts with the same words count once for least_docs, so
-    that copies of one document support nothing.
+    With N distinct texts, n(e), n(t) and n(e, t) of them holding the entity, the term, and both, anywhere in the text,
+    p(e | t) is smoothed to (n(e, t) + prior n(e) / N) / (n(t) + prior), PMI = ln(p(e | t) N / n(e)) and IC = ln(N / n(e)).
+    Equal texts are one, so that copies of a document support nothing.
     """
-    total = found.count()
-    near = found.select(F.monotonically_increasing_id().alias("row"), F.explode("near").alias("x")).select("row", "x.*")
-    pairs = near.select("row", "entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("context").alias("support")).filter(F.col("support") >= rule.least_docs)
-    pairs = materialise(pairs, "pairs")
-    terms = materialise(pairs.select("term").distinct(), "terms")
-    if terms.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    of_entity = near.groupBy("entity").agg(F.count_distinct("row").alias("ne"))
-    scored = pairs.join(of_entity, "entity").join(term_documents(docs, terms), "term")
-    pmi, ic = F.log(F.col("both") * total / (F.col("ne") * F.col("n"))), F.log(F.lit(float(total)) / F.col("ne"))
+    copies = materialise(found.groupBy("tid", "tid2").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    twice = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
+    total = float(found.count() - twice)
+    held = found.filter(F.size("entities") > 0).select("tid", "tid2", "entities", "terms").dropDuplicates(["tid", "tid2"])
+    held = materialise(held, "held")
+    pairs = held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    of_entity = materialise(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne")), "of_entity")
+    scored = join_checked(pairs, of_entity, ["entity"], "inner", 100).join(term_documents(docs, copies), "term")
+    seen = (F.col("both") + rule.prior * F.col("ne") / total) / (F.col("n") + rule.prior)
+    pmi, ic = F.log(seen * total / F.col("ne")), F.log(F.lit(total) / F.col("ne"))
     return scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= rule.generalise).select("entity", "term", "disclosure")
 
 
+EXTRA = "array<struct<start: int, kind: int, end: int, disclosure: double>>"
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())]))
+    for batch in batches:
+        extra = []
+        for text, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist(), strict=True):
+            score = {x["term"]: x["disclosure"] for x in told}
+            extra.append([{"start": a, "kind": 4, "end": b, "disclosure": score[t]} for t, a, b in outside(text, base_spans(text)) if t in score])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("tid2"), pa.array(extra, kind)], names=["tid", "tid2", "extra"])
+
+
+def locate(docs: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """(tid, tid2, extra): for each text with a disclosing term of one of its entities, all places of those terms."""
+    of = found.filter(F.size("entities") > 0).select("tid", "tid2", "entities", "terms").dropDuplicates(["tid", "tid2"])
+    of = of.select("tid", "tid2", F.explode("entities").alias("entity"), "terms")
+    by = materialise(told.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("score")), "by_entity")
+    size = (by.agg(F.sum(F.size("score"))).first()[0] or 0) * 100
+    hit = of.join(F.broadcast(by) if size <= BROADCAST_BYTES else by.hint("merge"), "entity")
+    hit = hit.select("tid", "tid2", F.explode(F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), F.element_at("score", t).alias("disclosure"))), lambda x: x["disclosure"].isNotNull())).alias("x"))
+    hit = hit.groupBy("tid", "tid2", "x.term").agg(F.max("x.disclosure").alias("disclosure"))
+    hit = materialise(hit.groupBy("tid", "tid2").agg(F.collect_list(F.struct("term", "disclosure")).alias("told")), "told")
+    size = (hit.agg(F.sum(F.size("told"))).first()[0] or 0) * 100
+    texts = docs.select("tid", "tid2", "text").join(F.broadcast(hit) if size <= BROADCAST_BYTES else hit.hint("merge"), ["tid", "tid2"])
+    # equal texts have equal places
+    return texts.mapInArrow(_locate, f"tid long, tid2 int, extra {EXTRA}").dropDuplicates(["tid", "tid2"])
+
+
 def _key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("tid"), F.hash(whole).alias("tid2"), F.col(text).alias("text"))
@@ -189,21 +198,18 @@ def spans(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_i
     """Per row: doc_id, tid and tid2 (hashes of the text), spans: array of (start, kind, end, disclosure), sorted.
 
     kind 0 to 3 are the base kinds in the order of KINDS, their disclosure null; kind 4 are terms. A null or empty text
-    has none; rows are judged each by itself, equal ones alike; an empty table gives no rows. Texts are read once for
-    spans and contexts, and once for the counts of terms that may disclose; neither reading shuffles them.
+    has none; rows are judged each by itself, equal ones alike; an empty table gives no rows. Texts are read for spans and
+    terms, for the counts of terms, and for the places of disclosing ones; they are shuffled only where what is joined to
+    them is too large to broadcast.
     """
     prepare(docs.sparkSession)
     base = _key(docs, doc_id, text)
-    found = materialise(find(base, rule), "found")
+    found = materialise(find(base), "found")
     told = materialise(disclosing(base, found, rule), "disclosing")
-    at = found.filter(F.size("near") > 0).select("tid", "tid2", F.explode("near").alias("x")).select("tid", "tid2", "x.entity", F.explode("x.terms").alias("t")).select("tid", "tid2", "entity", "t.*")
-    # rows of one key are equal texts: their terms lie at equal places
-    hits = join_checked(at, told, ["entity", "term"], "inner", 160).groupBy("tid", "tid2", "a", "b").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy("tid", "tid2").agg(F.collect_list(F.struct(F.col("a").alias("start"), F.lit(4).alias("kind"), F.col("b").alias("end"), "disclosure")).alias("extra"))
-    hits = materialise(hits, "terms_found")
+    hits = materialise(locate(base, found, told), "terms_found")
     own = F.transform(F.arrays_zip("starts", "kinds", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["kinds"].alias("kind"), x["ends"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
     joined = join_checked(found, hits, ["tid", "tid2"], "left", 400)
-    return joined.select("doc_id", "tid", "tid2", F.array_sort(F.concat(own, F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")))).alias("spans"))
+    return joined.select("doc_id", "tid", "tid2", F.array_sort(F.concat(own, F.coalesce("extra", F.array().cast(EXTRA)))).alias("spans"))
 
 
 def report(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:

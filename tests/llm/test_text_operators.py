@@ -169,6 +169,23 @@ def test_pii_report_and_disclosing_terms(spark):
     assert clean[3].spans == "s" and clean[3].row == "r"
 
 
+def test_terms_that_disclose_from_afar_and_of_rare_entities(spark):
+    filler = " ".join(f"filler common words number{k}" for k in range(12))
+    rows = [(i, f"zorblatt {filler} boss@corp.example.com {filler} zorblatt", "a") for i in range(2)] + [(2 + i, f"{filler} zorblatt {i} boss@corp.example.com", "a") for i in range(8)]
+    rows += [(50, f"Quimbly {filler} only@one.example.com {filler} quimbly", "a")] + [(100 + i, f"{filler} again{i}", "b") for i in range(4000)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert not any("zorblatt" in clean[i] for i in range(10)) and "quimbly" not in clean[50].lower()
+    assert clean[0].count("filler") == 24 and clean[50].count("[TERM]") == 2 and clean[100] == rows[11][1]
+
+
+def test_copies_prove_nothing(spark):
+    filler = " ".join(f"filler common words number{k}" for k in range(12))
+    apart = [(100 + i, f"{filler} again {i}", "b") for i in range(400)]
+    once, often = ([(i, f"lonely {filler} only@one.example.com", "a") for i in range(n)] for n in (1, 50))
+    got = [{r.doc_id: r.spans for r in pii.report(docs(spark, x + apart)).collect()} for x in (once, often)]
+    assert got[0][0] == got[1][0] == got[1][49]
+
+
 def test_graph_components(spark):
     from loamwork.llm.graph import connected_components
 
