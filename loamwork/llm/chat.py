@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from loamwork.llm.store import prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: The role of what no layout fits: a whole record, or an element among messages that is no object.
+NO_ROLE = "record"
 
 
 @dataclass(frozen=True)
@@ -63,28 +65,31 @@ LAYOUTS = (
 )
 
 
-def field_paths(value, at: str = "") -> Iterator[str]:
-    """Paths of a JSON value's leaves; an array's elements share one path. An empty object or array is a leaf."""
-    if isinstance(value, dict) and value:
-        for k, v in value.items():
-            yield from field_paths(v, f"{at}.{k}" if at else k)
-    elif isinstance(value, list) and value:
-        for v in value:
-            yield from field_paths(v, f"{at}[]")
-    else:
-        yield at
+def field_paths(value) -> Iterator[str]:
+    """Paths of a JSON value's leaves, however deep; an array's elements share one path. An empty object or array is a leaf."""
+    waiting = [("", value)]
+    while waiting:
+        at, value = waiting.pop()
+        if isinstance(value, dict) and value:
+            waiting += [(f"{at}.{k}" if at else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            waiting += [(f"{at}[]", v) for v in value]
+        else:
+            yield at
 
 
 def fingerprint(paths) -> str:
     """SHA-256 of the sorted distinct paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode(errors="surrogatepass")).hexdigest()
 
 
 class Registry:
-    """Fingerprint -> layout. Paths that no layout names (ids, scores, meta data) are left out of the looked-up hash."""
+    """Fingerprint -> layout. Paths that no layout names (ids, scores, meta data) are left out of the looked-up hash, and what
+    lies in a message's content (a list of parts) counts as the content."""
 
     def __init__(self, layouts: tuple[Layout, ...] = LAYOUTS):
         self.known = {p for x in layouts for p in x.paths()}
+        self.nested = {f"{x.each[0]}[].{x.each[2]}" for x in layouts if x.each}
         self.by = {}
         for x in layouts:
             for v in x.variants():
@@ -96,12 +101,23 @@ class Registry:
         if paths not in self.seen:
             if len(self.seen) > 10_000:  # records with fields named by data: the memory stays bounded
                 self.seen.clear()
-            self.seen[paths] = (fingerprint(paths), self.by.get(fingerprint(paths & self.known)))
+            whole = {next((n for n in self.nested if p.startswith((n + "[", n + "."))), p) for p in paths}
+            self.seen[paths] = (fingerprint(paths), self.by.get(fingerprint(whole & self.known)))
         return self.seen[paths]
 
 
 def _text(x) -> str:
-    return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    """Null is empty, a list of parts the parts' texts by line, a part of another kind (an image, say) its JSON."""
+    if x is None or isinstance(x, str):
+        return x or ""
+    if isinstance(x, list) and x and all(isinstance(p, str) or isinstance(p, dict) and "type" in p for p in x):
+        return "\n".join(p if isinstance(p, str) else p["text"] if isinstance(p.get("text"), str) else json.dumps(p, ensure_ascii=False) for p in x)
+    return json.dumps(x, ensure_ascii=False)
+
+
+def sound(text: str) -> str:
+    """The text, with half a surrogate pair, which JSON can spell and UTF-8 can't, as U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _at(record, path: str):
@@ -111,10 +127,12 @@ def _at(record, path: str):
 
 
 def turns_of(record, layout: Layout) -> list[tuple[str, str]]:
-    """The record's canonical turns. Null texts are empty; consecutive user parts of an instruction join by a blank line."""
+    """The record's canonical turns. Null texts are empty; consecutive user parts of an instruction join by a blank line.
+    An element of a message array that is no object is a turn of role NO_ROLE with the element as its text."""
     if layout.each is not None:
         at, role, text = layout.each
-        return [(layout.roles.get(_text(x.get(role)), _text(x.get(role))), _text(x.get(text))) for x in _at(record, at)]
+        named = [(_text(x.get(role)), _text(x.get(text))) if isinstance(x, dict) else (NO_ROLE, _text(x)) for x in _at(record, at)]
+        return [(layout.roles.get(r, r), t) for r, t in named]
     out: list[tuple[str, str]] = []
     for role, path in layout.turns:
         if path in layout.optional and _at(record, path) is None:
@@ -132,8 +150,9 @@ def turns_of(record, layout: Layout) -> list[tuple[str, str]]:
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, at long, record JSON string) -> (conv_id, at, part, fingerprint, layout, role, text), a row a turn.
 
-    at orders the records of a conversation, part the turns of a record. A record that is no JSON object, or whose
-    fingerprint no layout has, gives one row with layout, role and text null, to be counted or mended, never lost.
+    at orders the records of a conversation, part the turns of a record. A record that is no JSON object, is nested too
+    deeply to be read, or whose fingerprint no layout has, gives one turn of role NO_ROLE with the record itself as its text
+    (null: empty) and a null layout: it can be counted or mended, and is never lost.
     """
     prepare(records.sparkSession)
     columns = ["conv_id", "at", "part", "fingerprint", "layout", "role", "text"]
@@ -144,15 +163,18 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
         for batch in batches:
             out = []
             for conv, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                print_, layout, turns = None, None, []
                 try:
                     record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                print_, layout = registry.find(record) if isinstance(record, dict) else (None, None)
+                    if isinstance(record, dict):
+                        print_, layout = registry.find(record)
+                        turns = turns_of(record, layout) if layout else []
+                except (ValueError, RecursionError):
+                    layout = None
                 if layout is None:
-                    out.append((conv, at, 0, print_, None, None, None))
+                    out.append((conv, at, 0, print_, None, NO_ROLE, raw or ""))
                 else:
-                    out += [(conv, at, i, print_, layout.name, r, t) for i, (r, t) in enumerate(turns_of(record, layout))]
+                    out += [(conv, at, i, print_, layout.name, sound(r), sound(t)) for i, (r, t) in enumerate(turns)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(7)], names=columns)
 
     return records.select("conv_id", "at", "record").mapInArrow(convert, "conv_id long, at long, part long, fingerprint string, layout string, role string, text string")

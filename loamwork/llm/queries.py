@@ -24,8 +24,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("at"),
         F.to_json(F.struct(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(CONTROL).alias("content")) for r in ("user", "assistant"))).alias("messages"))).alias("record"),
     )
-    turns = chat.canonical_turns(rows.union(extra)).filter("layout is not null")
-    return chat.digests(chat.read_back(chat.render(turns)))
+    return chat.digests(chat.read_back(chat.render(chat.canonical_turns(rows.union(extra)))))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
