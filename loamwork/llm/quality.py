@@ -1,14 +1,16 @@
 """Quality rules by document and by host.
 
-Every document gets rule features over its whole text. Rule failures are counted by host; a beta prior is fitted to the
-hosts' failure rates by the method of moments, every host's rate is shrunk towards it, and hosts whose shrunk rate is
-too high lose all their documents.
+Every document gets rule features over its whole text. Rule failures are counted by host, which is the domain of a URL;
+a beta prior is fitted to the hosts' failure rates by the method of moments, every host's rate is shrunk towards it, and
+hosts whose shrunk rate lies far above what the prior expects of a host lose all their documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,19 @@ FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_l
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_pct: the base rules. max_symbol_pct: symbols against word characters; max_dup_line_pct: of
-    lines with a word. max_rate: the shrunk failure rate above which a host is rejected; prior_floor: least strength
-    (pseudo-documents) of the prior, so that a host of few documents can't be condemned by them alone."""
+    lines with a word. A host is rejected if its shrunk failure rate is over least_rate and over the prior's mean by more
+    than `spread` of the prior's standard deviations. prior_floor, prior_ceiling: bounds on the prior's strength
+    (pseudo-documents), so that a host of few documents can't be condemned by them alone, and hosts that are all alike
+    don't make every small difference count."""
 
     min_words: int = 20
     max_repeat_pct: int = 30
     max_symbol_pct: int = 10
     max_dup_line_pct: int = 30
-    max_rate: float = 0.8
+    least_rate: float = 0.2
+    spread: float = 3.0
     prior_floor: float = 20.0
+    prior_ceiling: float = 200.0
 
 
 def repeat_words(hashes: np.ndarray, k: int = 8) -> int:
@@ -102,10 +108,11 @@ def failures(r: Rules) -> dict[str, Column]:
 
 
 def host_rates(flagged: DataFrame, host: str, r: Rules) -> DataFrame:
-    """Per host: n, failed, the shrunk rate and the verdict.
+    """Per host: n, failed, the shrunk rate, the limit of the fitted prior and the verdict.
 
     Prior: mean m is the pooled rate; the strength s solves the beta-binomial moment equation on hosts weighted by their
-    size, and is prior_floor at least. Shrunk rate: (failed + m s) / (n + s).
+    size, within prior_floor and prior_ceiling. Shrunk rate: (failed + m s) / (n + s). Limit: m + spread sd, where
+    sd^2 = m (1 - m) / (s + 1) is the prior's variance, and least_rate at least.
     """
     hosts = flagged.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     hosts = materialise(hosts.filter(F.col(host).isNotNull()), "hosts")
@@ -113,32 +120,38 @@ def host_rates(flagged: DataFrame, host: str, r: Rules) -> DataFrame:
     n, k = t["n"] or 0, t["k"]
     m = (t["f"] or 0) / n if n else 0.0
     q = hosts.agg(F.sum(F.col("n") * F.pow(F.col("n_failed") / F.col("n") - F.lit(m), 2)).alias("q")).first()["q"] or 0.0
-    strength = r.prior_floor
+    rho = 0.0
     if k > 1 and 0 < m < 1:
         # E q = m (1-m) [ (k-1) + rho (n - n2/n - (k-1)) ], rho = 1 / (s + 1)
         room = n - t["n2"] / n - (k - 1)
         rho = min(1.0, max(0.0, (q / (m * (1 - m)) - (k - 1)) / room)) if room > 0 else 0.0
-        strength = max(r.prior_floor, 1 / rho - 1) if rho > 0 else max(r.prior_floor, 1e6)
+    strength = min(r.prior_ceiling, max(r.prior_floor, 1 / rho - 1)) if rho > 0 else r.prior_ceiling
+    limit = max(r.least_rate, m + r.spread * math.sqrt(m * (1 - m) / (strength + 1)))
     rate = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > F.lit(r.max_rate))
+    return hosts.withColumn("host_rate", rate).withColumn("host_limit", F.lit(limit)).withColumn("host_rejected", F.col("host_rate") > F.lit(limit))
+
+
+def domain(source: Column) -> Column:
+    """The host of a URL, lower-cased, without user, port and a leading www.; any other value is a host as it is."""
+    host = F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)", 1)
+    return F.when(host != "", F.regexp_replace(F.lower(host), r"^www\.(?=.)", "")).otherwise(source)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: doc_id, host, features, a boolean a rule, base_failed, host_rate, host_rejected, kept.
+    """Per input row: doc_id, host, features, a boolean a rule, base_failed, host_rate, host_rejected, kept. The host is the
+    domain of the column `host`, if that holds URLs, else the column itself.
 
     base_failed is "short or repeats"; a document fails for its host if any rule fails. kept: neither base_failed nor of
     a rejected host. A null text has no words and fails as short; a null host is no host: its documents are judged by
     the base rules alone; rows with equal ids are judged each by itself; an empty table gives no rows. Only the features
     (no text) are written and shuffled.
     """
-    from functools import reduce
-
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), domain(F.col(host).cast("string")).alias("host"), F.col(text).alias("text"))
     features = materialise(document_features(named, ["doc_id", "host"]), "features")
     rule = failures(rules)
     flagged = features.select("*", *(c.alias(f"fails_{k}") for k, c in rule.items())).withColumn("failed", reduce(lambda a, b: a | b, rule.values()))
     hosts = host_rates(flagged, "host", rules).select("host", "host_rate", "host_rejected")
-    out = join_checked(flagged, hosts, ["host"], "left", 64)
+    out = join_checked(flagged, hosts, ["host"], "left")
     base = F.col("fails_short") | F.col("fails_repeats")
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return out.withColumn("host_rejected", rejected).withColumn("base_failed", base).withColumn("kept", ~base & ~rejected)

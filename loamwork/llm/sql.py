@@ -35,7 +35,7 @@ covered AS (SELECT doc_id, max(f::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS
 rep AS (SELECT doc_id, sum(c) AS n_repeat_words FROM covered GROUP BY doc_id),
 line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 f AS (
-  SELECT d.doc_id, d.source, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars,
+  SELECT d.doc_id, CASE WHEN regexp_matches(d.source, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]') THEN regexp_replace(lower(regexp_extract(d.source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '^www\.', '') ELSE d.source END AS host, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars,
     length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(line.n_dup, 0) AS n_dup_lines, coalesce(line.n_lines, 0) AS n_lines, coalesce(rep.n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)
@@ -45,14 +45,14 @@ ruled AS (
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS failed
   FROM f
 ),
-host AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS nf FROM ruled WHERE source IS NOT NULL GROUP BY source),
+host AS (SELECT host, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS nf FROM ruled WHERE host IS NOT NULL GROUP BY host),
 pool AS (SELECT sum(n) AS n, sum(nf) / sum(n) AS m, count(*) AS k, sum(n * n) AS n2 FROM host),
 q AS (SELECT sum(host.n * (host.nf / host.n - pool.m) ** 2) AS q FROM host, pool),
 rho AS (SELECT CASE WHEN k > 1 AND m > 0 AND m < 1 AND n - n2 / n - (k - 1) > 0 THEN least(1.0, greatest(0.0, (q / (m * (1 - m)) - (k - 1)) / (n - n2 / n - (k - 1)))) ELSE 0 END AS rho, m, k FROM pool, q),
-prior AS (SELECT m, CASE WHEN rho > 0 THEN greatest(20.0, 1 / rho - 1) WHEN k > 1 AND m > 0 AND m < 1 THEN 1e6 ELSE 20.0 END AS s FROM rho),
-verdict AS (SELECT source, (nf + m * s) / (n + s) > 0.8 AS rejected FROM host, prior)
+prior AS (SELECT m, CASE WHEN rho > 0 THEN least(200.0, greatest(20.0, 1 / rho - 1)) ELSE 200.0 END AS s FROM rho),
+verdict AS (SELECT host, (nf + m * s) / (n + s) > greatest(0.2, m + 3.0 * sqrt(m * (1 - m) / (s + 1))) AS rejected FROM host, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
-FROM ruled LEFT JOIN verdict USING (source)
+FROM ruled LEFT JOIN verdict USING (host)
 """
 
 _OP5 = rf"""
