@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import materialise
+from loamwork.llm.store import Held, materialise
 
 
 def union_find(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -43,26 +43,24 @@ def _settled(edges: DataFrame) -> bool:
     return several.union(onward).isEmpty()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, component long), component the smallest node reachable.
 
     Partitions first shrink to star forests by union-find (memory bounded by the partition), then large-star and
     small-star steps alternate (Kiveris et al. 2014) until nothing changes; every step is a group-by minimum and a
-    join, so a hub is spread by AQE. Nulls and self loops are ignored; no edges give no rows. Each step's edges are
-    a table in the shared folder, so a lost executor costs one step at most.
+    join, so a hub is spread by AQE. Nulls and self loops are ignored; no edges give no rows. Each round's edges are
+    a table in the shared folder, so a lost executor costs one round at most. Rounds are about the logarithm of the
+    longest path between forests; every one that changes an edge brings it nearer its root, so they come to an end.
     """
     edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).filter("a <> b")
     edges = materialise(edges.mapInArrow(_forest, "a long, b long"), "forest")
-    for _ in range(rounds):
-        if _settled(edges):
-            break
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.filter("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = materialise(small.filter("a <> b").distinct(), "small")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    while not _settled(edges):
+        with Held() as hold:
+            both = edges.union(edges.select("b", "a"))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = hold(large.filter("a <> b").distinct())
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+            edges = materialise(small.filter("a <> b").distinct(), "round")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

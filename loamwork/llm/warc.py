@@ -1,6 +1,7 @@
 """WARC archives: written as one gzip stream a file, normalised to one member a record with an offset index, read back.
 
-Files lie in a shared folder that pyarrow's file systems can open on every executor. A task writes under a name of its
+Files lie in a shared folder that pyarrow's file systems can open on every executor (a path without a scheme must be a
+mount that all of them have). A task writes under a name of its
 own and the winner is what its output row names, so that retried and speculative tasks leave no half file in use.
 """
 
@@ -24,6 +25,8 @@ REVISIT_BYTES = 100
 #: Uncompressed bytes after which a writer begins the next archive.
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1 << 16
+#: The standard's name for a revisit whose payload equals that of the record it refers to.
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, record_at long, record_len long, record_id string, record_type string"
 
 
@@ -35,8 +38,10 @@ def record(page_id: int | None, row: int, url: str | None, kind: str, payload: b
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{row}>", f"WARC-Target-URI: {clean}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}", f"Content-Length: {len(body)}",
     ]
-    if refers is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers}>")
+    if kind == "response":
+        head.append("Content-Type: text/html; charset=utf-8")
+    else:
+        head += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: <urn:page:{refers}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -206,7 +211,7 @@ def archive(pages: DataFrame, folder: str | None = None, page_id: str = "page_id
     hashed = base.select("*", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
     groups = hashed.filter(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
     groups = materialise(groups.select("digest", "first_id"), "payloads")
-    joined = join_checked(hashed, groups, ["digest"], "left", 120)
+    joined = join_checked(hashed, groups, ["digest"], "left")
     # rows of the group's own smallest id, should it repeat, all hold the payload: none of them refers to itself
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id").cast("string"))
     rows = joined.withColumn("refers", refers).withColumn("row_id", F.monotonically_increasing_id())
