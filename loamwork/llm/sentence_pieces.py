@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a given model's pieces and scores.
 
 An Aho-Corasick automaton over the pieces reads a text once; at each position its output links give every piece that
-ends there, and each relaxes the position's best path. For a unigram model the best path has the greatest sum of
-scores. A BPE model's scores are merge ranks, and their greatest sum is not what its merges give: there a path is best
-if every two neighbours on it stay apart when their joint text is merged, of which each prefix has exactly one.
+ends there, and each relaxes the position's best score: that of the place where the piece begins, plus the piece's own.
+A unigram model's path has the greatest sum of scores. A BPE model's scores are merge ranks, and the greatest sum over all
+paths is not what its merges give: there a piece costs infinitely much behind one that it would not stay apart from when
+their joint text is merged, so that the best score is finite on one path of each prefix alone, the one that merges give.
 Characters that no piece has fall back to their UTF-8 bytes. Decoding gives back the exact text.
 """
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.llm import worker
 from loamwork.llm.store import fresh, prepare
 
 #: Where the model lies by default; every function takes another path.
@@ -75,10 +77,26 @@ def is_bpe(model: bytes) -> bool:
     return _field(_field(model, 2) or b"", 3) == 2
 
 
+def checked(model: bytes) -> bytes:
+    """The model, if its texts are taken as they are; else an error, since ids under other rules would be silently wrong.
+
+    normalizer_spec (field 3): precompiled_charsmap (2) must be empty, add_dummy_prefix (3) and escape_whitespaces (5) on,
+    their default, remove_extra_whitespaces (4) off. trainer_spec: treat_whitespace_as_suffix (24) off.
+    """
+    rules = _field(model, 3) or b""
+    off = [name for name, number, right in (("add_dummy_prefix", 3, 1), ("remove_extra_whitespaces", 4, 0), ("escape_whitespaces", 5, 1)) if (1 if (got := _field(rules, number)) is None else got) != right]
+    if off or _field(rules, 2) or _field(_field(model, 2) or b"", 24):
+        raise ValueError(f"the model normalises texts or marks spaces in another way: {', '.join(off) or 'a character map or spaces as suffixes'}")
+    return model
+
+
 def load(path: str = MODEL) -> Pieces:
+    """A model's pieces, for models that checked() lets pass and that have no user-defined pieces."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        raw = checked(f.read())
+    model = sentencepiece.SentencePieceProcessor(model_proto=raw)
     normal, byte_ids = [], {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
@@ -86,8 +104,7 @@ def load(path: str = MODEL) -> Pieces:
             byte_ids[int(piece[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             normal.append((piece, i, model.get_score(i)))
-    with open(path, "rb") as f:
-        return Pieces(normal, byte_ids, model.unk_id(), model.get_piece_size(), is_bpe(f.read()))
+    return Pieces(normal, byte_ids, model.unk_id(), model.get_piece_size(), is_bpe(raw))
 
 
 class Codec:
@@ -147,27 +164,29 @@ class Codec:
         return got
 
     def path_of_merges(self, text: str) -> list[int]:
-        """The one path on which all neighbours stay apart. piece: the last piece of each prefix, -1 none or a fallback."""
-        n, apart, known = len(text), self.apart, self.single.issuperset(text)
-        piece, came = [-1] + [-2] * n, [0] * (n + 1)
+        """The path of the best score, where a piece behind one that it would merge with scores minus infinity. piece: the
+        last piece of each prefix's best path, -1 none or a fallback."""
+        n, apart, known, low = len(text), self.apart, self.single.issuperset(text), -np.inf
+        best = [0.0] + [low] * n
+        piece, came = [-1] * (n + 1), [0] * (n + 1)
         seen = 0
-        for last, (length, _, i) in self.automaton.iter(text):
+        for last, (length, score, i) in self.automaton.iter(text):
             end = last + 1
             if not known and seen < end:
-                self._bridge(text, piece, came, seen, end)
+                self._bridge(text, best, piece, came, seen, end)
                 seen = end
-            if piece[end] == -2:
-                before = piece[end - length]
-                stays = apart.get(before << 32 | i)
-                if self.stays(before, i) if stays is None else stays:
-                    piece[end], came[end] = i, end - length
-        self._bridge(text, piece, came, seen, n)
+            start = end - length
+            if best[start] + score > best[end]:
+                stays = apart.get(piece[start] << 32 | i)
+                if self.stays(piece[start], i) if stays is None else stays:
+                    best[end], piece[end], came[end] = best[start] + score, i, start
+        self._bridge(text, best, piece, came, seen, n)
         return self._trace(text, piece, came)
 
-    def _bridge(self, text: str, piece: list[int], came: list[int], start: int, end: int) -> None:
+    def _bridge(self, text: str, best: list[float], piece: list[int], came: list[int], start: int, end: int) -> None:
         for q in range(start, end):
-            if piece[q + 1] == -2 and text[q] not in self.single:
-                piece[q + 1], came[q + 1] = -1, q
+            if text[q] not in self.single and (s := best[q] + self.low) > best[q + 1]:
+                best[q + 1], came[q + 1], piece[q + 1] = s, q, -1
 
     def _trace(self, text: str, piece: list[int], came: list[int]) -> list[int]:
         out: list[int] = []
@@ -187,19 +206,13 @@ class Codec:
         best = [0.0] + [-np.inf] * n
         piece, came = [-1] * (n + 1), [0] * (n + 1)
         seen = 0
-
-        def bridge(to: int) -> None:
-            for q in range(seen, to):
-                if text[q] not in self.single and (s := best[q] + self.low) > best[q + 1]:
-                    best[q + 1], came[q + 1], piece[q + 1] = s, q, -1
-
         for last, (length, score, i) in self.automaton.iter(text):
             if last >= seen:
-                bridge(last + 1)
+                self._bridge(text, best, piece, came, seen, last + 1)
                 seen = last + 1
             if (s := best[last + 1 - length] + score) > best[last + 1]:
                 best[last + 1], came[last + 1], piece[last + 1] = s, last + 1 - length, i
-        bridge(n)
+        self._bridge(text, best, piece, came, seen, n)
         return self._trace(text, piece, came)
 
     def solve(self, stretch: str) -> bytes:
@@ -241,18 +254,20 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids) -> str:
+        """The text of any ids: what is no UTF-8 becomes U+FFFD; ids that the model has not, null and control ones are nothing."""
         table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode()[1:]
-
-
-_KEPT: list[tuple[Pieces, Codec]] = []
+        try:
+            if min(ids, default=0) < 0:
+                raise IndexError
+            text = b"".join([table[i] for i in ids])
+        except (IndexError, TypeError):
+            text = b"".join([table[i] for i in ids if i is not None and 0 <= i < len(table)])
+        return text.decode(errors="replace")[1:]
 
 
 def codec_of(pieces: Pieces) -> Codec:
-    """The worker's codec, kept with its memory from task to task as long as the model is the same."""
-    if not _KEPT or _KEPT[0][0] != pieces:
-        _KEPT[:] = [(pieces, Codec(pieces))]
-    return _KEPT[0][1]
+    """The worker's codec, kept with its memory from task to task until another model or operator comes."""
+    return worker.kept(pieces, lambda: Codec(pieces))
 
 
 def encode(text: Column, pieces: Pieces) -> Column:
