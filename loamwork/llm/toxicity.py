@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.llm import worker
 from loamwork.llm.store import materialise, prepare
 
 #: Labelled documents that the chain is fitted on, the first by a hash of their ids. Scoring covers every document.
@@ -104,13 +105,16 @@ class Link:
     weights: np.ndarray
     bias: float
 
-    def probability(self, active: np.ndarray, earlier: list[float], n_features: int) -> float:
-        z = self.bias + float(self.weights[active].sum()) + sum(self.weights[n_features + i] * p for i, p in enumerate(earlier))
-        return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
+    def probabilities(self, row: np.ndarray, active: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """Of texts whose features are the pairs (row, active), after earlier links (texts x links): one sparse product."""
+        n, k = earlier.shape
+        z = self.bias + np.bincount(row, self.weights[active], n) + earlier @ self.weights[len(self.weights) - k :]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, l2: float = 0.1, steps: int = 200) -> Link:
-    """L2-regularised logistic regression on triplets, by accelerated gradient with a step size a column."""
+def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, l2: float = 0.1, steps: int = 200, settled: float = 5e-4) -> Link:
+    """L2-regularised logistic regression on triplets, by accelerated gradient with a step size a column, until no weight
+    moves by `settled` in a step, or for so many steps."""
     n, w, b = len(y), np.zeros(width), 0.0
     if not 0 < y.sum() < n:  # one class: its smoothed share, whatever the text
         p = (y.sum() + 0.5) / (n + 1)
@@ -134,7 +138,10 @@ def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray
         new_b = look_b - err.sum() / curve_b
         pace = t / (t + 3)
         look, look_b = new + pace * (new - w), new_b + pace * (new_b - b)
+        still = max(np.abs(new - w).max(initial=0), abs(new_b - b)) < settled
         w, b = new, new_b
+        if still:
+            break
     return Link(w, b)
 
 
@@ -144,22 +151,30 @@ class Chain:
     links: list[Link]
 
     def scorer(self):
-        """text -> the categories' probabilities, first link first."""
+        """texts -> the categories' probabilities (texts x links), first link first."""
         active = Active(self.names)
 
-        def score(text: str | None) -> list[float]:
-            own, earlier = active(text)[0], []
+        def score(texts: list[str | None]) -> np.ndarray:
+            row, own = flat([active(t)[0] for t in texts])
+            out = np.zeros((len(texts), 0))
             for link in self.links:
-                earlier.append(link.probability(own, earlier, len(self.names)))
-            return earlier
+                out = np.column_stack([out, link.probabilities(row, own, out)])
+            return out
 
         return score
 
 
+def flat(actives: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of all features of some texts."""
+    sizes = [len(a) for a in actives]
+    return np.repeat(np.arange(len(actives)), sizes), np.concatenate([*actives, np.zeros(0, np.int64)])
+
+
 def _triplets(actives: list[np.ndarray], earlier: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, k = earlier.shape
-    rows = np.concatenate([np.repeat(np.arange(n), [len(a) for a in actives]), np.repeat(np.arange(n), k)])
-    cols = np.concatenate([*actives, np.tile(np.arange(k) + width, n)]).astype(np.int64)
+    row, own = flat(actives)
+    rows = np.concatenate([row, np.repeat(np.arange(n), k)])
+    cols = np.concatenate([own, np.tile(np.arange(k) + width, n)]).astype(np.int64)
     return rows.astype(np.int64), cols, np.concatenate([np.ones(len(rows) - n * k), earlier.ravel()])
 
 
@@ -175,8 +190,8 @@ def fit_chain(names: list[str], actives: list[np.ndarray], labels: np.ndarray, f
             mine = rest[rows]
             place = np.cumsum(rest) - 1
             link = logistic(place[rows[mine]], cols[mine], vals[mine], labels[rest, j], width + j)
-            for i in np.flatnonzero(~rest):
-                held[i] = link.probability(actives[i], list(out[i]), width)
+            row, own = flat([actives[i] for i in np.flatnonzero(~rest)])
+            held[~rest] = link.probabilities(row, own, out[~rest])
         links.append(logistic(rows, cols, vals, labels[:, j], width + j))
         out = np.column_stack([out, held])
     return Chain(names, links), out
@@ -186,13 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fit on at most `sample` documents that have a toxic label; a null quality counts as good.
 
     Rows of labels that share an id count once, by their largest toxic and least quality. No label, no text that has
-    one, or one class only: the links predict the smoothed share of their label.
+    one, or one class only: the links predict the smoothed share of their label. Of texts that share an id the least counts.
     """
     prepare(docs.sparkSession)
     once = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
-    labelled = materialise(labelled.dropDuplicates(["doc_id"]).repartition(8, "doc_id"), "labelled")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    labelled = materialise(labelled.repartition(8, "doc_id"), "labelled")
     names = telling(labelled)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +234,17 @@ def score(text: Column, chain: Chain) -> Column:
 
     @F.arrow_udf(f"struct<{fields}>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker.free()
         scorer = chain.scorer()
         for batch in texts:
-            got = [scorer(t) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([g[j] for g in got], pa.float64()) for j in range(len(LINKS))], names=list(LINKS))
+            got = scorer(batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(got[:, j]) for j in range(len(LINKS))], names=list(LINKS))
 
     return of(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """docs with toxicity (the struct of probabilities) and toxic (its toxic probability reaches the threshold)."""
+    """docs with toxicity (the struct of probabilities) and toxic (its toxic probability reaches the threshold). Columns of
+    docs with these names are replaced. Every row is scored by its own text, a null one as empty; no rows give none."""
     chain = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), sample)
     return docs.withColumn("toxicity", score(F.col("text"), chain)).withColumn("toxic", F.col("toxicity.toxic") >= threshold)
