@@ -42,10 +42,14 @@ def resolve_calls(calls: DataFrame, scopes: list[str]) -> DataFrame:
 
 def containing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, id, line) and (path, symbol, start, stop) -> id, symbol: the innermost range that holds the line, which is
-    that of the latest start, the shortest of those."""
-    inside = points.join(symbols, "path").filter("line between start and stop")
-    found = inside.groupBy("path", "id").agg(F.max_by("symbol", F.struct("start", -F.col("stop"), "symbol")).alias("symbol"))
-    return points.join(found, ["path", "id"], "left").select("id", "symbol")
+    that of the latest start, the shortest of those.
+
+    Each line of a file has one innermost range, found once however many points lie on it: ranges nest, so that their lines
+    are as many as the file's, times the depth. Points then meet lines by equality, never all ranges of their file.
+    """
+    lines = symbols.filter("start <= stop").withColumn("line", F.explode(F.sequence("start", "stop")))
+    inner = lines.groupBy("path", "line").agg(F.max_by("symbol", F.struct("start", -F.col("stop"), "symbol")).alias("symbol"))
+    return points.join(inner, ["path", "line"], "left").select("id", "symbol")
 
 
 def rebuild(*parts: DataFrame) -> DataFrame:
@@ -64,30 +68,6 @@ def with_inverse(edges: DataFrame) -> DataFrame:
     return edges.select("kind", "source", "target").union(edges.select(F.try_element_at(names, F.col("kind")), "target", "source").filter(F.col(edges.columns[0]).isNotNull())).distinct()
 
 
-def test_links(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(path) and test imports (test, path) -> test, path, by: an unambiguous import, else the one file whose name the
-    test's name carries."""
-    imported = imports.groupBy("test").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).filter("n = 1").select("test", "path", F.lit("import").alias("by"))
-    name = F.substring_index("path", "/", -1)
-    base = F.when(name.rlike(r"^test_.+\.py$"), F.substring(name, F.lit(6), F.length(name))).when(name.rlike(r"^.+_test\.py$"), F.regexp_replace(name, r"_test\.py$", ".py"))
-    tests = files.select(F.col("path").alias("test"), base.alias("base")).filter("base is not null")
-    plain = files.filter(base.isNull()).select("path", name.alias("base"))
-    unique = plain.groupBy("base").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1")
-    named = tests.join(unique, "base").select("test", "path", F.lit("name").alias("by"))
-    return imported.union(named.join(imported.select("test"), "test", "left_anti"))
-
-
-def omitted(selected: DataFrame, edges: DataFrame, code: str, forward: bool = True, most: int = 50) -> DataFrame:
-    """A warning a selected node whose neighbours along the edges are not selected: code, path, the first `most` of them."""
-    a, b = ("source", "target") if forward else ("target", "source")
-    near = edges.select(F.col(a).alias("path"), F.col(b).alias("related")).join(selected, "path", "left_semi")
-    out = near.join(selected.select(F.col("path").alias("related")), "related", "left_anti")
-    # an edge relation is distinct, and what a node gathers is cut to `most` per part before parts meet
-    w = Window.partitionBy("path").orderBy("related")
-    first = out.distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
-    return first.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related")).select(F.lit(code).alias("code"), "path", "related")
-
-
 def sharing(keys: DataFrame) -> DataFrame:
     """(path, key) -> distinct (path, n): how many other paths share a key with it.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import paths
 from loamwork.functions.text import ranking_tokens
-from loamwork.operators import budget, edges, extract, rank, render
+from loamwork.operators import budget, edges, extract, rank, render, review
 from loamwork.operators.select import selector
 from loamwork.sources import repository
 
@@ -82,7 +82,8 @@ def discover(spark: SparkSession, root: str, task: str, pins: tuple[str, ...] =
     order = ranked.join(chosen, "path").join(known.select("path", "size_bytes", "pinned"), "path").select("path", "rank", "size_bytes", "pinned", (~F.col("pinned")).cast("int").alias("after"), F.lit(0).alias("all"))
     selected = budget.greedy(order, ["all"], ["after", "rank"], "size_bytes", limits.source_bytes, "pinned").filter("taken").select("path", "rank", "size_bytes").persist()
     near = import_edges(facts, files)
-    warnings = edges.omitted(selected.select("path"), near, "direct-import-omitted").union(edges.omitted(selected.select("path"), near, "direct-importer-omitted", forward=False))
+    mine = selected.select("path")
+    warnings = review.neighbours(mine, near, "direct-import-omitted").union(review.neighbours(mine, near, "direct-importer-omitted", "target", "source"))
     return Handoff(scan, facts, ranked, selected, warnings, render.file_sections(texts.join(selected.select("path"), "path", "left_semi")))
 
 

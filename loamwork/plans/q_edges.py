@@ -34,7 +34,7 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
 _SCOPES = ["contained", "sibling", "module"]
 
 
-@query("local_call_priority", "JOIN-12,JOIN-11", """WITH c AS (SELECT l_orderkey AS id, l_tax > 0.07 AS shadowed, CASE WHEN l_quantity < 4 THEN 'contained' WHEN l_quantity < 10 THEN 'sibling' WHEN l_quantity < 20 THEN 'module' ELSE 'other' END AS scope, 's' || (l_suppkey % 10)::VARCHAR AS target FROM lineitem),
+@query("local_call_priority", "JOIN-12", """WITH c AS (SELECT l_orderkey AS id, l_tax > 0.07 AS shadowed, CASE WHEN l_quantity < 4 THEN 'contained' WHEN l_quantity < 10 THEN 'sibling' WHEN l_quantity < 20 THEN 'module' ELSE 'other' END AS scope, 's' || (l_suppkey % 10)::VARCHAR AS target FROM lineitem),
 g AS (SELECT id, bool_or(shadowed) AS sh, count(DISTINCT target) FILTER (scope = 'contained') AS a, count(DISTINCT target) FILTER (scope = 'sibling') AS b, count(DISTINCT target) FILTER (scope = 'module') AS c,
   min(target) FILTER (scope = 'contained') AS ta, min(target) FILTER (scope = 'sibling') AS tb, min(target) FILTER (scope = 'module') AS tc FROM c GROUP BY id),
 r AS (SELECT id, CASE WHEN sh THEN NULL WHEN a > 0 THEN CASE WHEN a = 1 THEN ta END WHEN b > 0 THEN CASE WHEN b = 1 THEN tb END WHEN c = 1 THEN tc END AS target, CASE WHEN a > 0 THEN 'contained' WHEN b > 0 THEN 'sibling' WHEN c > 0 THEN 'module' END AS scope FROM g)
@@ -46,28 +46,28 @@ def local_call_priority(spark: SparkSession, d: str) -> DataFrame:
     return edges.resolve_calls(c, _SCOPES)
 
 
-@query("containing_symbol", "JOIN-13,JOIN-32", """WITH s AS (SELECT DISTINCT 'u' || user_id::VARCHAR AS path, event_id % 40 AS start, event_id % 40 + event_id % 9 AS stop, event_id % 997 AS symbol FROM events WHERE event_id % 3 = 0),
-p AS (SELECT 'u' || user_id::VARCHAR AS path, event_id AS id, floor(value)::BIGINT % 50 AS line FROM events WHERE event_id % 3 = 1),
+@query("containing_symbol", "JOIN-13", """WITH s AS (SELECT DISTINCT 'u' || user_id::VARCHAR AS path, event_id % 40 AS start, event_id % 40 + event_id % 9 AS stop, event_id % 997 AS symbol FROM events),
+p AS (SELECT 'u' || user_id::VARCHAR AS path, event_id AS id, floor(value)::BIGINT % 50 AS line FROM events),
 i AS (SELECT p.id, s.symbol, row_number() OVER (PARTITION BY p.id ORDER BY s.start DESC, s.stop, s.symbol DESC) AS n FROM p JOIN s ON p.path = s.path AND p.line BETWEEN s.start AND s.stop) SELECT p.id, i.symbol FROM p LEFT JOIN i ON p.id = i.id AND n = 1""")
 def containing_symbol(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     i, path = F.col("event_id"), _KEY("u", "user_id").alias("path")
-    s = e.filter(i % 3 == 0).select(path, (i % 40).alias("start"), (i % 40 + i % 9).alias("stop"), (i % 997).alias("symbol")).distinct()
-    p = e.filter(i % 3 == 1).select(path, i.alias("id"), (F.floor("value").cast("long") % 50).alias("line"))
+    s = e.select(path, (i % 40).alias("start"), (i % 40 + i % 9).alias("stop"), (i % 997).alias("symbol")).distinct()
+    p = e.select(path, i.alias("id"), (F.floor("value").cast("long") % 50).alias("line"))
     return edges.containing(p, s)
 
 
-@query("edge_rebuild", "JOIN-14,FLT-22", E + "SELECT kind, source, target, sha256(kind || '|' || source || '|' || target) AS id FROM edges")
+@query("edge_rebuild", "JOIN-14", E + "SELECT kind, source, target, sha256(kind || '|' || source || '|' || target) AS id FROM edges")
 def edge_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return edges.rebuild(edge_table(spark, d))
 
 
-@query("edge_kind_counts", "AGG-28,PRJ-01", E + "SELECT kind, count(*) AS n, count(DISTINCT source) AS n_sources FROM edges GROUP BY kind")
+@query("edge_kind_counts", "AGG-28", E + "SELECT kind, count(*) AS n, count(DISTINCT source) AS n_sources FROM edges GROUP BY kind")
 def edge_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return edge_table(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
 
 
-@query("inverse_edges", "JOIN-22", E + """SELECT * FROM edges UNION SELECT CASE kind WHEN 'import' THEN 'imported-by' WHEN 'contains' THEN 'contained-in' ELSE 'called-by' END, target, source FROM edges""")
+@query("inverse_edges", "JOIN-14", E + """SELECT * FROM edges UNION SELECT CASE kind WHEN 'import' THEN 'imported-by' WHEN 'contains' THEN 'contained-in' ELSE 'called-by' END, target, source FROM edges""")
 def inverse_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.with_inverse(edge_table(spark, d))
 
@@ -80,7 +80,7 @@ def importers(spark: SparkSession, d: str) -> DataFrame:
     return edge_table(spark, d).filter("kind = 'import'").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("first"))
 
 
-@query("callers", "JOIN-17,AGG-27", E + "SELECT target AS node, count(*) AS n, min(source) AS first, (SELECT count(*) FROM edges WHERE kind = 'call' AND target NOT IN (SELECT source FROM edges WHERE kind = 'import')) AS n_unresolved FROM edges WHERE kind = 'call' GROUP BY target")
+@query("callers", "JOIN-17", E + "SELECT target AS node, count(*) AS n, min(source) AS first, (SELECT count(*) FROM edges WHERE kind = 'call' AND target NOT IN (SELECT source FROM edges WHERE kind = 'import')) AS n_unresolved FROM edges WHERE kind = 'call' GROUP BY target")
 def callers(spark: SparkSession, d: str) -> DataFrame:
     e = edge_table(spark, d)
     calls = e.filter("kind = 'call'")
@@ -99,18 +99,6 @@ def related_tests(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("path").agg(F.max(F.struct("direction", "related")).alias("x")).select("path", "x.related", "x.direction")
 
 
-@query("test_links", "JOIN-15", f"""WITH {FILES_SQL}, f AS (SELECT regexp_replace(path, 'item_|config_', '') AS path FROM files), n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM f),
-t AS (SELECT path AS test, substr(name, 6) AS base FROM n WHERE regexp_matches(name, '^test_.+\\.py$')), o AS (SELECT 'x' || regexp_extract(name, '^(.)', 1) || '.py' AS base, path FROM n WHERE NOT regexp_matches(name, '^test_.+\\.py$')),
-imp AS (SELECT test, count(DISTINCT path) AS n, min(path) AS path FROM (SELECT t.test, p.path FROM t JOIN n p ON t.base = p.name || 'y' OR (t.base = p.name)) GROUP BY test)
-SELECT test, path, 'import' AS how FROM imp WHERE n = 1""")
-def test_links(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).select(F.regexp_replace("path", "item_|config_", "").alias("path"))
-    name = F.substring_index("path", "/", -1)
-    tests = f.filter(name.rlike(r"^test_.+\.py$")).select(F.col("path").alias("test"), F.substring(name, F.lit(6), F.length(name)).alias("name"))
-    imports = tests.join(f.select("path", name.alias("name")), "name").select("test", "path")
-    return edges.test_links(f, imports).select("test", "path", F.col("by").alias("how")).filter("how = 'import'")
-
-
 @query("overview_counts", "AGG-05", f"""WITH {FILES_SQL} SELECT count(*) AS n_files, count(*) FILTER (doc_id % 17 <> 1) AS n_parsed, sum(doc_id % 7)::BIGINT AS n_symbols, count(*) FILTER (list_contains(string_split(path, '/'), 'tests') OR regexp_matches(path, '(^|/)test_[^/]*$')) AS n_tests,
   count(DISTINCT {duck_language('path')}) AS n_languages, count(DISTINCT regexp_extract(path, '^([^/]*)', 1)) AS n_packages FROM files""")
 def overview_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -132,17 +120,6 @@ def config_consumers(spark: SparkSession, d: str) -> DataFrame:
     return edges.sharing(table(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment").alias("key")))
 
 
-@query("completeness_warnings", "JOIN-20,SET-02", E + """, sel AS (SELECT DISTINCT source AS path FROM edges WHERE kind = 'import' AND (substr(source, 2)::BIGINT) % 3 = 0 UNION SELECT DISTINCT target FROM edges WHERE kind = 'import' AND (substr(target, 2)::BIGINT) % 4 = 0),
-o AS (SELECT 'direct-import-omitted' AS code, source AS path, target AS rel FROM edges WHERE kind = 'import' AND source IN (SELECT path FROM sel) AND target NOT IN (SELECT path FROM sel)
-  UNION ALL SELECT 'direct-importer-omitted', target, source FROM edges WHERE kind = 'import' AND target IN (SELECT path FROM sel) AND source NOT IN (SELECT path FROM sel)),
-n AS (SELECT *, row_number() OVER (PARTITION BY code, path ORDER BY rel) AS n FROM o) SELECT code, path, string_agg(rel, ',' ORDER BY rel) AS related FROM n WHERE n <= 50 GROUP BY code, path""")
-def completeness_warnings(spark: SparkSession, d: str) -> DataFrame:
-    e = edge_table(spark, d).filter("kind = 'import'")
-    number = lambda c: F.substring(F.col(c), F.lit(2), F.lit(20)).cast("long")
-    chosen = e.filter(number("source") % 3 == 0).select(F.col("source").alias("path")).union(e.filter(number("target") % 4 == 0).select("target")).distinct()
-    return edges.omitted(chosen, e, "direct-import-omitted").union(edges.omitted(chosen, e, "direct-importer-omitted", forward=False))
-
-
 def warnings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     i = F.col("event_id")
@@ -178,13 +155,13 @@ _CODES = ["stale-index", "incomplete-parse-data", "structural-coverage-limitatio
 _PEN = """CASE WHEN contains(code, 'stale') THEN 0.8 WHEN code = 'incomplete-parse-data' THEN 0.08 WHEN code = 'structural-coverage-limitations' THEN 0.12 WHEN code = 'dynamic-or-unresolved-calls' THEN 0.15 WHEN code = 'structural-record-unavailable' THEN 0.5 ELSE 0.1 END"""
 
 
-@query("result_confidence", "AGG-20", f"""WITH w AS (SELECT user_id AS run, [{', '.join(f"'{c}'" for c in _CODES)}][(event_id % 6 + 1)::INT] AS code, event_id % 4 = 0 AS info, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 10) / 20.0::DOUBLE END AS conf FROM events WHERE event_id % 7 = 0),
+@query("result_confidence", "AGG-20", f"""WITH w AS (SELECT user_id AS run, [{', '.join(f"'{c}'" for c in _CODES)}][(event_id % 6 + 1)::INT] AS code, event_id % 4 = 0 AS info, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 10) / 20.0::DOUBLE END AS conf FROM events),
 p AS (SELECT run, code, max({_PEN}::DOUBLE * (CASE WHEN info THEN 0.5 ELSE 1.0 END)::DOUBLE * coalesce(conf, 0.5::DOUBLE)) AS pen FROM w GROUP BY run, code)
 SELECT run, round(0.9::DOUBLE * (CASE WHEN run % 2 = 0 THEN 1.0 ELSE 0.35 END)::DOUBLE * (CASE WHEN run % 3 = 0 THEN 0.85 ELSE 1.0 END)::DOUBLE * product(1 - least(0.9::DOUBLE, pen)), 12) AS confidence FROM p GROUP BY run""")
 def result_confidence(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     code = F.element_at(F.array(*map(F.lit, _CODES)), (i % 6 + 1).cast("int"))
-    w = table(spark, d, "events").filter(i % 7 == 0).select(F.col("user_id").alias("run"), code.alias("code"), F.when(i % 4 == 0, "info").otherwise("warning").alias("severity"), F.when(i % 3 == 0, F.lit(None)).otherwise((i % 10) / 20.0).alias("conf"))
+    w = table(spark, d, "events").select(F.col("user_id").alias("run"), code.alias("code"), F.when(i % 4 == 0, "info").otherwise("warning").alias("severity"), F.when(i % 3 == 0, F.lit(None)).otherwise((i % 10) / 20.0).alias("conf"))
     each = w.groupBy("run", "code").agg(F.max(metrics.penalty(F.col("code"), F.col("severity"), F.col("conf"))).alias("pen"))
     # one entry a code
     listed = each.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "pen"))), lambda x: x["pen"]).alias("p"))
