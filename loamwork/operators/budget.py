@@ -63,3 +63,29 @@ def greedy(df: DataFrame, keys: list[str], order: list[str], size: str, limit: i
 def halvings(need: Column, limit: int) -> Column:
     """How often a size must be halved, rounding down, to fit."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(need.alias("n"), F.lit(0).alias("k")), lambda a, _: F.when(a["n"] > limit, F.struct(F.floor(a["n"] / 2).alias("n"), (a["k"] + 1).alias("k"))).otherwise(a))["k"].cast("long")
+
+
+def greedy_all(df: DataFrame, order: list[Column], size: str, limit: int, at_once: int = 10_000) -> DataFrame:
+    """The rows of a whole table that greedy() would take in this order, which must tell all rows apart; no row is pinned.
+
+    What is left only shrinks, so a row that doesn't fit now never will: each round asks for the first `at_once` rows behind
+    the last one seen that still fit, which every task cuts to as many, and folds those. Empty rows always fit and need no
+    fold. What comes to the driver is `at_once` rows a round; taken rows are `limit` at most.
+    """
+    spark = df.sparkSession
+    place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    waiting = df.filter(F.col(size) > 0).select("*", place.alias("_place"))
+    left, seen, taken = limit, None, []
+    while left > 0:
+        fits = waiting.filter(F.col(size) <= left)
+        if seen is not None:
+            fits = fits.filter(F.col("_place") > F.struct(*(F.lit(v).alias(f"o{k}") for k, v in enumerate(seen))))
+        rows = fits.orderBy("_place").limit(at_once).collect()
+        for r in rows:
+            if r[size] <= left:
+                left -= r[size]
+                taken.append(tuple(r)[:-1])
+        if len(rows) < at_once:
+            break
+        seen = tuple(rows[-1]["_place"])
+    return df.filter(F.col(size) == 0).union(spark.createDataFrame(taken, df.schema))

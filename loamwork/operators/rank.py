@@ -18,8 +18,8 @@ def _overlap(tokens: Column, wanted) -> Column:
     return F.size(F.array_intersect(tokens, F.array(*map(F.lit, wanted)).cast("array<string>")))
 
 
-def score(candidates: DataFrame, task: str) -> DataFrame:
-    """(path, symbols array, summary array, semantic, entry, direct_test, pinned booleans) -> path, score, signals.
+def score(candidates: DataFrame, task: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, symbols array, summary array, semantic, entry, direct_test, pinned booleans) -> path, score, signals, carry.
 
     1, and 12, 8 and 6 a token that the task shares with the path, the symbols and the summary; a pin 10,000, a semantic
     record 0.5. A metadata penalty counts instead of entry point (10) or implementation file (3) and role scores. Tests
@@ -45,9 +45,12 @@ def score(candidates: DataFrame, task: str) -> DataFrame:
     named += [F.when(penalty == 0, F.when(F.col("entry"), "application_entry_point").when(code, "implementation_file"))]
     named += [F.when((penalty == 0) & has, k) for k, (_, has) in paths.task_roles(path, wants).items()]
     named += [F.when(test, F.when(direct, "direct_related_test").when(matched, "task_matched_test").when(any_match, "unrequested_test_penalty").otherwise("unrelated_test_penalty"))]
-    return candidates.select("path", F.greatest(total, F.lit(0.0)).alias("score"), F.slice(F.array_distinct(F.array_compact(F.array(*named))), 1, 10).alias("signals"))
+    return candidates.select("path", F.greatest(total, F.lit(0.0)).alias("score"), F.slice(F.array_distinct(F.array_compact(F.array(*named))), 1, 10).alias("signals"), *carry)
 
 
+#: What the facet functions need of a candidate besides its score.
+FACET_COLUMNS = ("symbols", "summary", "entry")
+
 RELEVANT = ("application_entry_point", "browser_bootstrap_role", "browser_document_role", "configuration_role", "direct_related_test", "media_client_role", "media_search_service_role", "server_entry_role", "startup_manifest_role")
 
 
@@ -115,13 +118,11 @@ def facet_role(facet: Facet, path: Column, entry: Column) -> Column:
     return base if own is None else base + F.coalesce(own, F.lit(0.0))
 
 
-def facet_ranking(ranked: DataFrame, found: list[Facet], least: float = 8.0) -> DataFrame:
-    """(path, symbols, summary, entry, signals, rank) -> facet, path, facet_score, facet_rank.
-
-    Records with a metadata penalty, or under the least score, have no place in a facet.
-    """
+def in_facets(scored: DataFrame, found: list[Facet], least: float = 8.0) -> DataFrame:
+    """(path, score, signals, symbols, summary, entry) with facets: an array of (facet, facet_score, mismatch), those that the
+    record has a place in. Records with a metadata penalty, or under the least score, have none."""
     path = F.col("path")
-    rows = F.array(*(
+    places = F.array(*(
         F.struct(
             F.lit(f.label).alias("facet"),
             (_overlap(ranking_tokens(path), sorted(f.tokens)) * 12.0 + _overlap(F.col("symbols"), sorted(f.tokens)) * 8.0 + _overlap(F.col("summary"), sorted(f.tokens)) * 6.0 + facet_role(f, path, F.col("entry"))).alias("facet_score"),
@@ -129,37 +130,66 @@ def facet_ranking(ranked: DataFrame, found: list[Facet], least: float = 8.0) ->
         )
         for f in found
     ))
-    laid = ranked.filter(~F.array_contains("signals", "incidental_metadata_penalty")).select("path", "rank", F.explode(rows).alias("x")).select("path", "rank", "x.*").filter(F.col("facet_score") >= least)
+    held = F.when(F.array_contains("signals", "incidental_metadata_penalty"), F.slice(places, 1, 0)).otherwise(F.filter(places, lambda x: x["facet_score"] >= least))
+    return scored.select("path", "score", "signals", held.alias("facets"))
+
+
+def _order(x: Column) -> Column:
+    """The place of a record in a facet; a global rank breaks ties, which is the order of score and path."""
+    return F.struct(x["mismatch"].alias("a"), (-x["facet_score"]).alias("b"), (-F.col("score")).alias("c"), F.col("path").alias("d"))
+
+
+def facet_ranking(placed: DataFrame) -> DataFrame:
+    """in_facets() -> facet, path, facet_score, facet_rank."""
+    laid = placed.select("path", "score", F.explode("facets").alias("x")).select("path", "score", "x.*")
     # offsets restart a facet: number all, then take off what lies before the facet
-    all_ = global_row_number(laid, "place", [F.col("facet"), F.col("mismatch"), -F.col("facet_score"), F.floor(F.col("rank") / 1000)], [F.col("rank"), F.col("path")])
+    all_ = global_row_number(laid, "place", [F.col("facet"), F.col("mismatch"), -F.col("facet_score"), -F.col("score"), F.substring("path", 1, 10)], [F.col("path")])
     first = all_.groupBy("facet").agg(F.min("place").alias("first"))
     return all_.join(F.broadcast(first), "facet").select("facet", "path", "facet_score", (F.col("place") - F.col("first") + 1).alias("facet_rank"))
 
 
-def preselect(ranked: DataFrame, by_facet: DataFrame, found: list[Facet], limit: int, fill: bool = True) -> DataFrame:
-    """path and tier: the first of each substantial facet, then records by relevance or score floor in rank order, and
-    for a generic task one more neutral file, `limit` in all.
+def facet_firsts(placed: DataFrame) -> DataFrame:
+    """in_facets() -> facet, path: the first record of each facet, a row a facet."""
+    laid = placed.select("path", "score", F.explode("facets").alias("x"))
+    return laid.groupBy(F.col("x.facet").alias("facet")).agg(F.min_by("path", _order(F.col("x"))).alias("path"))
+
+
+def covered(placed: DataFrame, found: list[Facet], chosen: int = 5, most: int = 2) -> DataFrame:
+    """The first record of each substantial facet that none of the `chosen` best records has a place in, `most` facets at most."""
+    top = placed.orderBy(F.desc("score"), "path").limit(chosen).select(F.explode("facets").alias("x")).select("x.facet").distinct()
+    open_ = facet_firsts(placed).join(F.broadcast(top), "facet", "left_anti").filter(F.col("facet").isin([f.label for f in found if f.substantial]))
+    return open_.orderBy("facet").limit(most)
+
+
+def preselect(placed: DataFrame, found: list[Facet], limit: int, fill: bool = True) -> DataFrame:
+    """in_facets() -> path and tier: the first of each substantial facet, then records by relevance or score floor in rank
+    order, and for a generic task one more neutral file, `limit` in all.
 
-    Each tier takes at most `limit` rows, so what meets in one place is a few times the limit, whatever the input.
+    Two looks at the records: one for the facets' firsts and the best score, a few numbers; one for the first rows of each tier
+    in order, of which every task keeps `limit`. Nobody is ranked for it.
     """
-    firsts = by_facet.filter(F.col("facet").isin([f.label for f in found if f.substantial]) & (F.col("facet_rank") == 1)).select("path").distinct()
-    firsts = ranked.join(F.broadcast(firsts), "path", "left_semi").select("path", "rank", F.lit(0).alias("tier"))
-    if not fill:
-        return firsts.orderBy("rank").limit(limit).select("path", "tier")
+    labels = [f.label for f in found if f.substantial]
     roles = {"application startup", "configuration", "media client", "media search service", "relevant tests/files", "server integration"}
     generic = any(f.label not in roles for f in found)
-    best = ranked.filter(~F.array_contains("signals", "manual_pin")).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))
+    unpinned = F.when(~F.array_contains("signals", "manual_pin"), F.col("score"))
+    named = lambda k: F.get(F.filter("facets", lambda x: x["facet"] == k), F.lit(0))
+    own = [named(k) for k in labels]
+    none = F.array().cast("array<string>")
+    told = placed.agg(F.coalesce(F.max(unpinned), F.lit(0.0)).alias("best"), F.array_compact(F.array(*(F.min_by(F.when(x.isNotNull(), F.col("path")), F.when(x.isNotNull(), _order(x))) for x in own)) if own else none).alias("firsts"))  # one row
     floor = F.greatest(F.lit(4.0), F.col("best") * (0.25 if generic else 0.75))
     penalised = F.array_contains("signals", "incidental_metadata_penalty")
     task_match = F.lit(generic) & F.exists("signals", lambda s: s.startswith("task_"))
     good = is_relevant(F.col("signals")) | task_match | (~penalised & (F.col("score") >= floor) & paths.is_implementation(F.col("path")))
-    rest = ranked.join(F.broadcast(best)).filter(good).join(F.broadcast(firsts.select("path")), "path", "left_anti").select("path", "rank", F.lit(1).alias("tier")).orderBy("rank").limit(limit)
-    chosen = firsts.union(rest)
-    chosen = chosen.withColumn("n", F.row_number().over(Window.orderBy("tier", "rank"))).filter(F.col("n") <= limit).select("path", "rank", "tier")
-    if not generic:
-        return chosen.select("path", "tier")
-    neutral = ranked.filter(~penalised).join(F.broadcast(chosen.select("path")), "path", "left_anti").select("path", "rank", F.lit(2).alias("tier")).orderBy("rank").limit(1)
-    return chosen.union(neutral).withColumn("n", F.row_number().over(Window.orderBy("tier", "rank"))).filter(F.col("n") <= limit).select("path", "tier")
+    tier = F.when(F.array_contains("firsts", F.col("path")), 0)
+    if fill:
+        tier = tier.when(good, 1)
+    if fill and generic:
+        tier = tier.when(~penalised, 2)
+    laid = placed.crossJoin(F.broadcast(told)).select("path", "score", tier.alias("tier")).filter("tier is not null")
+    # with room left, all of the first tiers are in, and the next row in order is the neutral file
+    top = laid.orderBy("tier", F.desc("score"), "path").limit(limit)
+    nth = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("score"), "path"))
+    return top.withColumn("n", nth).filter("tier < 2 or n = 1").select("path", "tier")
 
 
 def role_firsts(ranked: DataFrame) -> DataFrame:

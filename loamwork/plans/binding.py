@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, size_bytes, sha256, text: a document a file, its path made of its id, source and language."""
+    """doc_id, source, path, size_bytes, sha256, text: a document a file, its path made of its id, source and language."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     folder = (
@@ -25,7 +25,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stem = F.when(i % 7 == 0, "test_").when(i % 7 == 1, "config_").otherwise("item_")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (i % 10 + 1).cast("int"))
-    return d.select("doc_id", F.concat(folder, F.lit("/"), stem, i.cast("string"), ext).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"), "text")
+    return d.select("doc_id", "source", F.concat(folder, F.lit("/"), stem, i.cast("string"), ext).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"), "text")
 
 
 FILES_SQL = f"""files AS (

@@ -75,10 +75,10 @@ def discover(spark: SparkSession, root: str, task: str, pins: tuple[str, ...] =
         "path", "size_bytes", F.coalesce("symbols", none).alias("symbols"), none.alias("summary"), F.lit(False).alias("semantic"),
         stem.isin("main", "app", "server", "__main__").alias("entry"), F.lit(False).alias("direct_test"), F.col("path").isin(*pins).alias("pinned"),
     ).persist()
-    ranked = rank.rank(rank.score(known, task)).persist()
+    scored = rank.score(known, task, rank.FACET_COLUMNS)
+    ranked = rank.rank(scored.select("path", "score", "signals")).persist()
     found = rank.facets(task)
-    by_facet = rank.facet_ranking(ranked.join(known.select("path", "symbols", "summary", "entry"), "path"), found)
-    chosen = rank.preselect(ranked, by_facet, found, limits.files)
+    chosen = rank.preselect(rank.in_facets(scored, found), found, limits.files)
     order = ranked.join(chosen, "path").join(known.select("path", "size_bytes", "pinned"), "path").select("path", "rank", "size_bytes", "pinned", (~F.col("pinned")).cast("int").alias("after"), F.lit(0).alias("all"))
     selected = budget.greedy(order, ["all"], ["after", "rank"], "size_bytes", limits.source_bytes, "pinned").filter("taken").select("path", "rank", "size_bytes").persist()
     near = import_edges(facts, files)

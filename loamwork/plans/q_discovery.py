@@ -30,12 +30,11 @@ scored AS (SELECT *, greatest(0.0, 1.0 + mp * 12.0 + ms * 8.0 + mu * 6.0 + CASE
 ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM scored)"""
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+def candidates(spark: SparkSession, d: str, *more: str) -> DataFrame:
     i = F.col("doc_id")
-    return f.select(
+    return files(spark, d).select(
         "path", text.ranking_tokens(F.col("source")).alias("symbols"), text.ranking_tokens(F.col("text")).alias("summary"),
-        (i % 4 == 0).alias("semantic"), (i % 50 == 0).alias("entry"), (i % 21 == 0).alias("direct_test"), i.isin(*PINS).alias("pinned"),
+        (i % 4 == 0).alias("semantic"), (i % 50 == 0).alias("entry"), (i % 21 == 0).alias("direct_test"), i.isin(*PINS).alias("pinned"), *more,
     )
 
 
@@ -73,24 +72,30 @@ _FACET = {
     "configuration": f"CASE WHEN entry THEN 12.0 ELSE 0.0 END + CASE WHEN {_STEM} IN ('config', 'configuration', 'setting', 'settings') THEN 28.0 ELSE 0.0 END",
     "relevant tests/files": f"CASE WHEN entry THEN 12.0 ELSE 0.0 END + CASE WHEN {_TEST} THEN 8.0 ELSE 0.0 END",
 }
-_FACETS = " UNION ALL ".join(
-    f"SELECT '{f.label}' AS facet, path, rank, ({_N(duck_tokens('path'), sorted(f.tokens))} * 12.0 + {_N('symbols', sorted(f.tokens))} * 8.0 + {_N('summary', sorted(f.tokens))} * 6.0 + {_FACET.get(f.label, 'CASE WHEN entry THEN 12.0 ELSE 0.0 END')})::DOUBLE AS facet_score,"
-    f" {'NOT ' if f.label == 'relevant tests/files' else ''}{_TEST} AS mismatch FROM ranked"
-    for f in FOUND
-)
-FACET_SQL = f"""{CAND_SQL}, laid AS ({_FACETS}),
+
+
+def facet_sql(found: list[rank.Facet]) -> str:
+    laid = " UNION ALL ".join(
+        f"SELECT '{f.label}' AS facet, path, rank, ({_N(duck_tokens('path'), sorted(f.tokens))} * 12.0 + {_N('symbols', sorted(f.tokens))} * 8.0 + {_N('summary', sorted(f.tokens))} * 6.0 + {_FACET.get(f.label, 'CASE WHEN entry THEN 12.0 ELSE 0.0 END')})::DOUBLE AS facet_score,"
+        f" {'NOT ' if f.label == 'relevant tests/files' else ''}{_TEST} AS mismatch FROM ranked"
+        for f in found
+    )
+    return f"""{CAND_SQL}, laid AS ({laid}),
 by_facet AS (SELECT facet, path, facet_score, row_number() OVER (PARTITION BY facet ORDER BY mismatch, facet_score DESC, rank, path) AS facet_rank FROM laid WHERE facet_score >= 8.0)"""
 
 
-def _facets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = candidates(spark, d)
-    r = rank.rank(rank.score(c, TASK))
-    return r, rank.facet_ranking(r.join(c.select("path", "symbols", "summary", "entry"), "path"), FOUND)
+FACET_SQL = facet_sql(FOUND)
+#: Facets of another task, whose files the best of TASK need not have.
+FAR = rank.facets("compare the src11 rows, then the src12 rows, then the src13 rows, then the src16 rows")
+
+
+def _facets(spark: SparkSession, d: str, found: list[rank.Facet] = FOUND) -> DataFrame:
+    return rank.in_facets(rank.score(candidates(spark, d), TASK, rank.FACET_COLUMNS), found)
 
 
 @query("facet_rank", "WIN-05,FN-05", f"WITH {FACET_SQL} SELECT * FROM by_facet")
 def facet_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _facets(spark, d)[1]
+    return rank.facet_ranking(_facets(spark, d))
 
 
 _SUBSTANTIAL = duck_list([f.label for f in FOUND if f.substantial])
@@ -105,8 +110,7 @@ chosen AS (SELECT path, rank, tier FROM tiers ORDER BY tier, rank LIMIT 40),
 neutral AS (SELECT path, rank, 2 AS tier FROM ranked WHERE path NOT IN (SELECT path FROM chosen) ORDER BY rank LIMIT 1)
 SELECT path, tier::BIGINT AS tier FROM (SELECT * FROM chosen UNION ALL SELECT * FROM neutral) ORDER BY tier, rank LIMIT 40""")
 def facet_preselect(spark: SparkSession, d: str) -> DataFrame:
-    r, by = _facets(spark, d)
-    return rank.preselect(r, by, FOUND, 40).select("path", F.col("tier").cast("long").alias("tier"))
+    return rank.preselect(_facets(spark, d), FOUND, 40).select("path", F.col("tier").cast("long").alias("tier"))
 
 
 @query("fallback_roles", "WIN-07,TOP-02", f"""WITH {CAND_SQL} SELECT 'application_entry_point' AS signal, arg_min(path, rank) AS path FROM ranked WHERE entry
@@ -123,13 +127,13 @@ def pick_confidence(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", F.round(rank.pick_confidence(F.col("score"), False), 12).alias("model_pick"), F.round(rank.pick_confidence(F.col("score"), True), 12).alias("fallback_pick"))
 
 
-@query("fallback_select", "WIN-10,WF-03", f"""WITH RECURSIVE {CAND_SQL}, o AS (SELECT path, strlen(text)::BIGINT AS size, row_number() OVER (ORDER BY pinned DESC, rank) AS n FROM ranked JOIN (SELECT doc_id AS i, text FROM documents) ON doc_id = i WHERE rank <= 200),
+@query("fallback_select", "WIN-10,WF-03", f"""WITH RECURSIVE {CAND_SQL}, o AS MATERIALIZED (SELECT path, strlen(text)::BIGINT AS size, row_number() OVER (ORDER BY pinned DESC, rank) AS n FROM ranked JOIN (SELECT doc_id AS i, text FROM documents) ON doc_id = i),
 fold AS (SELECT 0::BIGINT AS n, 0::BIGINT AS used, ''::VARCHAR AS path, false AS taken UNION ALL SELECT o.n, CASE WHEN f.used + o.size <= 60000 THEN f.used + o.size ELSE f.used END, o.path, f.used + o.size <= 60000 FROM fold f JOIN o ON o.n = f.n + 1)
 SELECT path FROM fold WHERE taken""")
 def fallback_select(spark: SparkSession, d: str) -> DataFrame:
-    r = ranked(spark, d).filter("rank <= 200").join(files(spark, d).select("path", "size_bytes"), "path")
-    r = r.select("path", "size_bytes", (~F.array_contains("signals", "manual_pin")).cast("int").alias("unpinned"), "rank", F.lit(0).alias("one"))
-    return budget.greedy(r, ["one"], ["unpinned", "rank"], "size_bytes", 60_000).filter("taken").select("path")
+    c = candidates(spark, d, "size_bytes")
+    s = rank.score(c, TASK, ("size_bytes",)).select("path", "size_bytes", "score", F.array_contains("signals", "manual_pin").alias("pinned"))
+    return budget.greedy_all(s, [~F.col("pinned"), -F.col("score"), F.col("path")], "size_bytes", 60_000).select("path")
 
 
 @query("greedy_by_user", "WIN-10", """WITH RECURSIVE e AS (SELECT user_id, event_id, floor(value)::BIGINT AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
@@ -193,14 +197,10 @@ def dependency_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return best.orderBy("tier", "rank").limit(8).select("path", F.col("tier").cast("long").alias("tier"))
 
 
-@query("facet_coverage", "JOIN-25", f"""WITH {FACET_SQL}, sel AS (SELECT path FROM ranked WHERE rank <= 5), covered AS (SELECT DISTINCT facet FROM by_facet WHERE path IN (SELECT path FROM sel)),
-open AS (SELECT facet, arg_min(path, facet_rank) AS path, min(facet_rank) AS r FROM by_facet WHERE facet NOT IN (SELECT facet FROM covered) AND list_contains({_SUBSTANTIAL}, facet) GROUP BY facet) SELECT facet, path FROM open ORDER BY facet LIMIT 2""")
+@query("facet_coverage", "JOIN-25", f"""WITH {facet_sql(FAR)}, sel AS (SELECT path FROM ranked WHERE rank <= 5), covered AS (SELECT DISTINCT facet FROM by_facet WHERE path IN (SELECT path FROM sel)),
+open AS (SELECT facet, arg_min(path, facet_rank) AS path, min(facet_rank) AS r FROM by_facet WHERE facet NOT IN (SELECT facet FROM covered) AND list_contains({duck_list([f.label for f in FAR if f.substantial])}, facet) GROUP BY facet) SELECT facet, path FROM open ORDER BY facet LIMIT 2""")
 def facet_coverage(spark: SparkSession, d: str) -> DataFrame:
-    r, by = _facets(spark, d)
-    chosen = r.filter("rank <= 5").select("path")
-    covered = by.join(F.broadcast(chosen), "path", "left_semi").select("facet").distinct()
-    open_ = by.join(F.broadcast(covered), "facet", "left_anti").filter(F.col("facet").isin([f.label for f in FOUND if f.substantial]))
-    return open_.groupBy("facet").agg(F.min_by("path", "facet_rank").alias("path")).orderBy("facet").limit(2)
+    return rank.covered(_facets(spark, d, FAR), FAR)
 
 
 GROUPS = [["item", "py"], ["config", "json"]]
