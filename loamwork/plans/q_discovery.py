@@ -42,7 +42,7 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return rank.rank(rank.score(candidates(spark, d), TASK))
 
 
-@query("candidate_rank", "WIN-04,FN-01,JOIN-23", f"""WITH {CAND_SQL}, i AS (SELECT *, sha256(path) AS h FROM ranked)
+@query("candidate_rank", "WIN-04,FN-01", f"""WITH {CAND_SQL}, i AS (SELECT *, sha256(path) AS h FROM ranked)
 SELECT path, score, rank, 'c-' || substr(h, 1, 10 + 2 * (row_number() OVER (PARTITION BY substr(h, 1, 10) ORDER BY rank) - 1)) AS candidate_id FROM i""")
 def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d).select("path", "score", "rank", "candidate_id")
@@ -121,7 +121,7 @@ def fallback_roles(spark: SparkSession, d: str) -> DataFrame:
     return rank.role_firsts(ranked(spark, d)).filter(F.col("signal").isin(*kept))
 
 
-@query("pick_confidence", "WF-02,AGG-20", f"WITH {CAND_SQL} SELECT path, round(least(0.99, 0.5 + score / (2 * (score + 1))), 12) AS model_pick, round(least(0.8, 0.4 + score / (2 * (score + 1))), 12) AS fallback_pick FROM ranked")
+@query("pick_confidence", "AGG-20", f"WITH {CAND_SQL} SELECT path, round(least(0.99, 0.5 + score / (2 * (score + 1))), 12) AS model_pick, round(least(0.8, 0.4 + score / (2 * (score + 1))), 12) AS fallback_pick FROM ranked")
 def pick_confidence(spark: SparkSession, d: str) -> DataFrame:
     s = rank.score(candidates(spark, d), TASK)
     return s.select("path", F.round(rank.pick_confidence(F.col("score"), False), 12).alias("model_pick"), F.round(rank.pick_confidence(F.col("score"), True), 12).alias("fallback_pick"))
@@ -176,27 +176,6 @@ def text_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return rank.text_search(lines, "the ", per_file=2)
 
 
-@query("symbol_search", "FLT-14,FLT-15", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'ring brand#2') AND p_size > 10")
-def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("ring brand#2")) & (F.col("p_size") > 10)).select("p_partkey", "p_name")
-
-
-@query("dependency_enrichment", "JOIN-24", f"""WITH {CAND_SQL}, sel AS (SELECT path, doc_id FROM ranked WHERE rank <= 5), dep AS (SELECT DISTINCT r.path, r.rank, 1 AS tier FROM ranked r JOIN sel s ON r.doc_id = s.doc_id + 5 WHERE r.mp > 0 AND {_CODE.replace('path', 'r.path')}),
-near AS (SELECT DISTINCT r.path, r.rank, 2 AS tier FROM ranked r JOIN sel s ON regexp_extract(r.path, '^(.*)/[^/]*$', 1) = regexp_extract(s.path, '^(.*)/[^/]*$', 1) WHERE r.mp > 0),
-best AS (SELECT path, min(rank) AS rank, min(tier) AS tier FROM (SELECT * FROM dep UNION ALL SELECT * FROM near) WHERE path NOT IN (SELECT path FROM sel) GROUP BY path)
-SELECT path, tier::BIGINT AS tier FROM best ORDER BY tier, rank LIMIT 8""")
-def dependency_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    ids = files(spark, d).select("path", "doc_id")
-    r = ranked(spark, d).join(ids, "path")
-    match = F.exists("signals", lambda s: s.startswith("task_path_token"))
-    folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
-    chosen = r.filter("rank <= 5").select(F.col("path").alias("s_path"), F.col("doc_id").alias("s_id"))  # five rows
-    dep = r.filter(match & paths.is_implementation(F.col("path"))).join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id") + 5, "left_semi").select("path", "rank", F.lit(1).alias("tier"))
-    near = r.filter(match).join(F.broadcast(chosen), folder("path") == folder("s_path"), "left_semi").select("path", "rank", F.lit(2).alias("tier"))
-    best = dep.union(near).join(F.broadcast(chosen.select(F.col("s_path").alias("path"))), "path", "left_anti").groupBy("path").agg(F.min("rank").alias("rank"), F.min("tier").alias("tier"))
-    return best.orderBy("tier", "rank").limit(8).select("path", F.col("tier").cast("long").alias("tier"))
-
-
 @query("facet_coverage", "JOIN-25", f"""WITH {facet_sql(FAR)}, sel AS (SELECT path FROM ranked WHERE rank <= 5), covered AS (SELECT DISTINCT facet FROM by_facet WHERE path IN (SELECT path FROM sel)),
 open AS (SELECT facet, arg_min(path, facet_rank) AS path, min(facet_rank) AS r FROM by_facet WHERE facet NOT IN (SELECT facet FROM covered) AND list_contains({duck_list([f.label for f in FAR if f.substantial])}, facet) GROUP BY facet) SELECT facet, path FROM open ORDER BY facet LIMIT 2""")
 def facet_coverage(spark: SparkSession, d: str) -> DataFrame:

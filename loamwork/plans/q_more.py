@@ -57,7 +57,7 @@ def semantic_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(text.ranking_tokens(said)), " ").alias("tokens"))
 
 
-@query("package_sections", "SNK-08,SNK-09", f"""WITH {FILES_SQL}, t AS (SELECT path, replace(text, '. ', repeat('`', (doc_id % 6)::INT)) AS text FROM files),
+@query("package_sections", "SNK-08", f"""WITH {FILES_SQL}, t AS (SELECT path, replace(text, '. ', repeat('`', (doc_id % 6)::INT)) AS text FROM files),
 f AS (SELECT *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::INT) AS fence FROM t)
 SELECT path, sha256('## `' || path || '`' || chr(10) || chr(10) || fence || lower(coalesce({duck_language('path')}, 'text')) || chr(10) || text || CASE WHEN ends_with(text, chr(10)) OR text = '' THEN '' ELSE chr(10) END || fence || chr(10)) AS sha256 FROM f""")
 def package_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def tree_render(spark: SparkSession, d: str) -> DataFrame:
     return render.tree_lines(parts)
 
 
-@query("prompt_budgets", "SNK-11,FN-25", """WITH p AS (SELECT conv_id AS prompt, CASE role WHEN 'user' THEN 'source' WHEN 'assistant' THEN 'diff' ELSE 'instructions' END AS category, repeat(text, 150) AS text, conv_id % 2 = 0 AS pinned FROM conversations),
+@query("prompt_budgets", "SNK-11", """WITH p AS (SELECT conv_id AS prompt, CASE role WHEN 'user' THEN 'source' WHEN 'assistant' THEN 'diff' ELSE 'instructions' END AS category, repeat(text, 150) AS text, conv_id % 2 = 0 AS pinned FROM conversations),
 e AS (SELECT prompt, category, sum(strlen(text))::BIGINT AS n_bytes, sum(CASE WHEN pinned THEN 0 ELSE strlen(text) END)::BIGINT AS free FROM p GROUP BY ALL)
 SELECT prompt, category, n_bytes, CASE category WHEN 'source' THEN free <= 1048576 WHEN 'diff' THEN n_bytes <= 262144 ELSE n_bytes <= 65536 END AS fits FROM e UNION ALL SELECT prompt, 'total', sum(n_bytes)::BIGINT, sum(n_bytes) <= 2097152 FROM e GROUP BY prompt""")
 def prompt_budgets(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def prompt_budgets(spark: SparkSession, d: str) -> DataFrame:
     return render.prompt_budgets(parts)
 
 
-@query("file_summary", "JOIN-19,JOIN-37", f"WITH {FILES_SQL} SELECT path, size_bytes, l.quality = 1 AS interpreted FROM files f LEFT JOIN labels l ON f.doc_id = l.doc_id")
+@query("file_summary", "JOIN-19", f"WITH {FILES_SQL} SELECT path, size_bytes, l.quality = 1 AS interpreted FROM files f LEFT JOIN labels l ON f.doc_id = l.doc_id")
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).join(table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("interpreted")), "doc_id", "left").select("path", "size_bytes", "interpreted")
 
