@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.graph import connected_components
-from loamwork.llm.store import join_checked, materialise, prepare
+from loamwork.llm.store import Held, bounded, fresh, join_checked, materialise, prepare
 from loamwork.llm.text import Piece, grams, mix, pieces
 
 #: BANDS bands of BAND_ROWS slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^42 = 3e-6.
@@ -27,7 +27,7 @@ SCREEN, LEAST = 256, 0.68
 #: Members of a bucket that one task holds; larger buckets are split and their parts met pairwise.
 PART = 2048
 #: Full sets, and their bytes, that a block of the second verification holds about.
-BLOCK_SETS, BLOCK_BYTES = 4096, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 #: Elements whose slot shuffles are held at once.
 SHUFFLED = 1 << 15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -209,8 +209,8 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two parts of a bucket (band, i, j, node, screen, component, part, cluster, block): the pairs of two components
-    that may be links, packed by their cluster and the blocks of their nodes."""
+    """Of two parts of a bucket (band, i, j, node, screen, bands, component, part, cluster, block): the pairs of two components
+    that may be links, each in the first bucket only that holds both, packed by their cluster and the blocks of their nodes."""
 
     def packed(cluster: int, held: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
@@ -219,13 +219,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [both[m:n, 2:].tobytes() for m, n in zip(edge, [*edge[1:], len(both)][: len(edge)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), cluster, np.int64)), pa.array(both[edge, 0]), pa.array(both[edge, 1]), pa.array(cuts, pa.binary())], names=["cluster", "bx", "by", "pairs"])
 
-    for (_, i, j), (node, screen, component, part, cluster, block) in _groups(batches, 3):
-        a, group, ids, side, home = _unpack(screen), np.array(component), np.array(node), np.array(part), np.array(block, np.int64)
+    for (band, i, j), (node, screen, bands, component, part, cluster, block) in _groups(batches, 3):
+        a, every, group, ids, side, home = _unpack(screen), np.array(bands), np.array(component), np.array(node), np.array(part), np.array(block, np.int64)
         held, size = [], 0
         for k in range(len(ids)):
             other = np.flatnonzero((group != group[k]) & (ids > ids[k]) & ((side != side[k]) if i != j else True))
             if len(other):
                 other = other[_estimate(a[other], a[k]) >= LEAST]
+            if len(other):
+                other = other[every[k][(every[other] == every[k]).argmax(1)] == band]
             if len(other):
                 low, high = np.minimum(home[other], home[k]), np.maximum(home[other], home[k])
                 held.append(np.stack([low, high, np.full(len(other), ids[k]), ids[other]], axis=1))
@@ -240,7 +242,6 @@ def _verify_blocks(percent: int) -> Callable:
     def check(_: tuple, packed: pa.Table, sets: pa.Table) -> pa.Table:
         """The links that join components, among two blocks' candidate pairs."""
         own = {n: (c, np.frombuffer(x, np.uint64)) for n, c, x in zip(*(sets[k].to_pylist() for k in ("node", "component", "shingles")), strict=True)}
-        pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed["pairs"].to_pylist()] or [np.zeros((0, 2), np.int64)]), axis=0)
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -249,13 +250,14 @@ def _verify_blocks(percent: int) -> Callable:
             return x
 
         links = []
-        for x, y in pairs.tolist():
-            if x in own and y in own:
-                (cx, p), (cy, q) = own[x], own[y]
-                a, b = root(cx), root(cy)
-                if a != b and linked(p, q, percent):
-                    up[max(a, b)] = min(a, b)
-                    links.append((x, y))
+        for blob in packed["pairs"]:
+            for x, y in np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2).tolist():
+                if x in own and y in own:
+                    (cx, p), (cy, q) = own[x], own[y]
+                    a, b = root(cx), root(cy)
+                    if a != b and linked(p, q, percent):
+                        up[max(a, b)] = min(a, b)
+                        links.append((x, y))
         return pa.table({"x": pa.array([p[0] for p in links], pa.int64()), "y": pa.array([p[1] for p in links], pa.int64())})
 
     return check
@@ -303,7 +305,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+    """Per row: doc_id, n_shingles, s1 and s2 (two hashes of the shingle set), component_id, kept (doc_id = component_id).
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one
     shingle; a text without words, or null, has an empty set and is alone. A null id is linked with nothing: its
@@ -312,49 +314,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = materialise(base.mapInArrow(_features(shingle), FEATS), "signatures")
+    with Held() as hold:
+        component = materialise(_components(base, feats, shingle, percent, hold), "components")
+    out = feats.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of the smallest id. Rows without a word all stay.
+
+    Rows are judged by their texts, whatever their ids: rows that share an id, or have none, get numbers of their own above
+    all ids, written once so that they hold. Rows of such ids with the same text are one; of those the one whose columns
+    sort first stays (columns that can't be sorted aside). An empty table gives no rows.
+    """
+    uid = fresh(docs, "uid")
+    key = F.col(doc_id).cast("long")
+    repeated = materialise(docs.groupBy(key.alias(uid)).agg(F.count("*").alias("n")).filter(f"n > 1 or `{uid}` is null").select(uid), "repeated")
+    named = docs.withColumn(uid, key)
+    if not repeated.isEmpty():
+        top = named.agg(F.coalesce(F.max(uid), F.lit(0))).first()[0]
+        marked = bounded(repeated.withColumnRenamed(uid, "marked"))
+        same = F.col(f"`{uid}`").eqNullSafe(F.col("marked"))
+        order = F.struct(*(F.col(f"`{c}`") for c in named.columns if not any(x in named.schema[c].dataType.simpleString() for x in ("map<", "variant"))))
+        row = F.struct(*(F.col(f"`{c}`") for c in named.columns))
+        by_text = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        odd = named.join(marked, same, "left_semi").groupBy(F.col(uid).alias("k"), by_text.alias("t"), F.col(text).isNull().alias("z")).agg(F.min_by(row, order).alias("row"))
+        # numbers in the order of id and text, so that the same row stays in every run
+        odd = odd.repartitionByRange(F.asc_nulls_last("k"), "t").sortWithinPartitions(F.asc_nulls_last("k"), "t").select("row.*")
+        odd = materialise(odd.withColumn(uid, F.lit(top + 1) + F.monotonically_increasing_id()), "odd")
+        named = named.join(marked, same, "left_anti").unionByName(odd)
+    told = near_duplicates(named.select(F.col(uid).alias("doc_id"), F.col(text).alias("text")), shingle, percent)
+    gone = materialise(told.filter(~F.col("kept")).select(F.col("doc_id").alias(uid)), "gone")
+    return join_checked(named, gone, [uid], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _components(base: DataFrame, feats: DataFrame, shingle: int, percent: int, hold: Held) -> DataFrame:
+    """(doc_id, component_id) of the documents that have an id and a shingle, from their written features."""
     some = feats.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = materialise(some.join(classes, ["s1", "s2"]).filter("doc_id = rep").select("rep", "s1", "s2", "bands", "screen"), "representatives")
-    laid = members.select(F.explode("bands").alias("band"), F.col("rep").alias("node")).repartition("band").sortWithinPartitions("band", "node")
+    members = hold(some.join(classes, ["s1", "s2"]).filter("doc_id = rep").select(F.col("rep").alias("node"), "s1", "s2", "bands", "screen"))
+    laid = members.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node")
     hits = materialise(laid.mapInArrow(_colliding, "band long, node long").distinct(), "collisions")
-    sizes = materialise(hits.groupBy("band").agg(F.count("*").alias("g"), F.min("node").alias("least")).filter("g > 1"), "buckets")
-    screens = materialise(members.select(F.col("rep").alias("node"), "s1", "s2", "screen").join(hits.select("node").distinct(), "node", "left_semi"), "screens")
-    found = hits.join(sizes, "band")
-    rows = join_checked(found, screens.select("node", "screen").dropDuplicates(["node"]), ["node"], "inner", 96)
-    rows = join_checked(rows, screens.select(F.col("node").alias("least"), F.col("screen").alias("least_screen")).dropDuplicates(["least"]), ["least"], "inner", 96)
+    sizes = hold(hits.groupBy("band").agg(F.count("*").alias("g"), F.min("node").alias("least")).filter("g > 1"))
+    screens = materialise(members.join(hits.select("node").distinct(), "node", "left_semi"), "screens")
+    one = hold(screens.select("node", "screen").dropDuplicates(["node"]))
+    rows = join_checked(hits.join(sizes, "band"), one, ["node"], "inner")
+    rows = join_checked(rows, one.select(F.col("node").alias("least"), F.col("screen").alias("least_screen")), ["least"], "inner")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / PART))).select("band", "part", "node", "screen", "least", "least_screen")
     proposed = rows.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(_propose, PROPOSED)
     # two partners a document over all its buckets: the smallest that is like it, and the nearest
     best = proposed.groupBy("x", "near").agg(F.min("y").alias("low"), F.max_by("y", F.struct("estimate", "y")).alias("close"))
     first = materialise(best.select(F.col("x"), F.when(F.col("near"), F.col("close")).otherwise(F.col("low")).alias("y")).distinct(), "proposals")
-    wanted = materialise(first.select(F.col("x").alias("doc_id")).union(first.select("y")).distinct(), "wanted")
-    sets = _full_sets(base, screens, wanted, shingle)
-    tested = materialise(verified(first, sets, percent), "links")
-    links = tested.filter("linked").select("x", "y")
-    comps = materialise(connected_components(links), "groups")
-    labelled = join_checked(hits.join(sizes.select("band", "g"), "band"), comps, ["node"], "left", 32).withColumn("component", F.coalesce("component", "node"))
-    labelled = materialise(labelled, "labelled")
+    wanted = first.select(F.col("x").alias("node")).union(first.select("y")).distinct()
+    sets = _full_sets(base, screens, wanted, shingle, hold)
+    links = materialise(verified(first, sets, percent).filter("linked").select("x", "y"), "links")
+    comps = hold(connected_components(links))
+    labelled = join_checked(hits.join(sizes.select("band", "g"), "band"), comps, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = hold(labelled)
     open_ = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
     rest = materialise(labelled.join(open_, "band", "left_semi"), "open")
-    left = materialise(rest.select("node", "component").distinct(), "left")
+    left = hold(rest.select("node", "component").distinct())
     if not left.isEmpty():
-        more = _second_links(base, rest, left, screens, shingle, percent)
-        comps = materialise(connected_components(links.union(more)), "groups")
+        more = _second_links(base, rest, left, screens, shingle, percent, hold)
+        comps = hold(connected_components(links.union(more)))
     reps = some.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "s1", "s2", F.col("rep").alias("node")).distinct()
-    reps = join_checked(reps, comps, ["node"], "left", 32).withColumn("component", F.coalesce("component", "node"))
+    reps = join_checked(reps, comps, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
     # rows that share an id are one node: its smallest component
-    component = materialise(reps.groupBy("doc_id").agg(F.min("component").alias("component_id")), "components")
-    out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return reps.groupBy("doc_id").agg(F.min("component").alias("component_id"))
 
 
-def _full_sets(base: DataFrame, screens: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def _full_sets(base: DataFrame, screens: DataFrame, wanted: DataFrame, shingle: int, hold: Held) -> DataFrame:
     """The full shingle sets of the wanted representatives, from their texts."""
-    keys = materialise(screens.select(F.col("node").alias("doc_id"), "s1", "s2").join(wanted, "doc_id", "left_semi").distinct(), "keys")
-    return materialise(join_checked(base, keys, ["doc_id"], "inner", 48).select("doc_id", "text", "s1", "s2").mapInArrow(_sets_of(shingle), "node long, size long, shingles binary"), "sets")
+    keys = hold(screens.select("node", "s1", "s2").join(wanted, "node", "left_semi").distinct().withColumnRenamed("node", "doc_id"))
+    return materialise(join_checked(base, keys, ["doc_id"], "inner").select("doc_id", "text", "s1", "s2").mapInArrow(_sets_of(shingle), "node long, size long, shingles binary"), "sets")
 
 
-def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: DataFrame, shingle: int, percent: int, hold: Held) -> DataFrame:
     """Links between components in the buckets that still hold several.
 
     Every pair that its signatures don't rule out is verified, save those of components that a link found in the same
@@ -363,21 +398,20 @@ def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: Da
     """
     least = rest.groupBy("band").agg(F.min("node").alias("least"))
     clusters = connected_components(rest.join(least, "band").select("node", "least").filter("node <> least").distinct())
-    left = left.join(clusters.select("node", F.col("component").alias("cluster")), "node")
-    sets = _full_sets(base, screens, left.select(F.col("node").alias("doc_id")), shingle)
+    left = materialise(left.join(clusters.select("node", F.col("component").alias("cluster")), "node"), "left")
+    sets = _full_sets(base, screens, left.select("node"), shingle, hold)
     own = sets.dropDuplicates(["node"]).join(left, "node")
     large = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
-    large = materialise(large, "large")
-    blocked = join_checked(left, large, ["cluster"], "left", 32).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("long")).drop("blocks")
-    blocked = materialise(blocked, "blocked")
+    large = hold(large)
+    blocked = join_checked(left, large, ["cluster"], "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("long")).drop("blocks")
+    blocked = hold(blocked)
     parts = F.ceil(F.col("g") / PART).cast("int")
     spread = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    spread = spread.join(screens.select("node", "screen").dropDuplicates(["node"]), "node").join(blocked.select("node", "cluster", "block"), "node")
-    spread = spread.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "component", "part", "cluster", "block")
-    packed = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "cluster long, bx long, by long, pairs binary")
-    packed = materialise(packed, "packed")
-    met = packed.select("cluster", "bx", "by").distinct()
-    sides = materialise(met.select("cluster", F.col("bx").alias("block"), "bx", "by").union(met.filter("bx <> by").select("cluster", F.col("by").alias("block"), "bx", "by")), "sides")
+    spread = spread.join(screens.select("node", "screen", "bands").dropDuplicates(["node"]), "node").join(blocked.select("node", "cluster", "block"), "node")
+    spread = spread.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "screen", "bands", "component", "part", "cluster", "block")
+    packed = materialise(spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, "cluster long, bx long, by long, pairs binary"), "packed")
+    met = packed.select(*(F.col(c).alias(c) for c in ("cluster", "bx", "by"))).distinct()
+    sides = met.select("cluster", F.col("bx").alias("block"), "bx", "by").union(met.filter("bx <> by").select("cluster", F.col("by").alias("block"), "bx", "by"))
     held = sets.join(blocked, "node").join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "node", "component", "shingles")
     keys = ("cluster", "bx", "by")
     return materialise(packed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_verify_blocks(percent), "x long, y long"), "second")
