@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamwork.operators.cut import cut
+
 
 def global_row_number(df: DataFrame, name: str, coarse: list[Column], fine: list[Column]) -> DataFrame:
     """Add the 1-based place in the order by (coarse, fine).
 
     coarse: leading sort expressions with many values, each group of which one task can order; the groups' sizes, a row
-    a group, give each group's offset. A plain row_number over all rows would sort them in one task.
+    a group, give each group's offset. A plain row_number over all rows would sort them in one task. The rows are read
+    twice, and so written once.
     """
     keys = [f"_g{i}" for i in range(len(coarse))]
-    keyed = df.select("*", *(c.alias(k) for k, c in zip(keys, coarse, strict=True)))
+    keyed = cut(df).select("*", *(c.alias(k) for k, c in zip(keys, coarse, strict=True)))
     sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*(F.col(k).alias(f"{k}o") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.operators import codemap, resolve, session
+from loamwork.operators.cut import cut
 from loamwork.plans.binding import FILES_SQL, files, table
 from loamwork.plans.facts import FACTS_SQL, RESOLVED_SQL, facts
 from loamwork.plans.q_facts import _edges, resolved
@@ -35,7 +36,7 @@ SELECT c.path, coalesce(symbols, '') AS symbols, coalesce(relationships, '') AS
 def codemap_projection(spark: SparkSession, d: str) -> DataFrame:
     f = resolved(spark, d)
     edges = _edges(f).select(F.substring_index("source", "#", 1).alias("path"), "kind", "target")
-    return codemap.projection(f["code"], signed(f), edges)
+    return codemap.projection(f["code"], signed(f), cut(edges))
 
 
 _CUT = "SELECT path, string_agg(v, ',' ORDER BY v) FILTER (k <= {cap}) AS {name}, count(*) AS n FROM (SELECT path, v, row_number() OVER (PARTITION BY path ORDER BY v) AS k FROM (SELECT DISTINCT path, {v} AS v FROM {src})) GROUP BY path"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import fixed, paths, text
 from loamwork.operators import budget, rank
+from loamwork.operators.cut import cut
 from loamwork.plans.binding import FILES_SQL, TASK, files, table
 from loamwork.plans.registry import duck_list, duck_name, duck_tokens, query
 
@@ -90,7 +91,7 @@ FAR = rank.facets("compare the src11 rows, then the src12 rows, then the src13 r
 
 
 def _facets(spark: SparkSession, d: str, found: list[rank.Facet] = FOUND) -> DataFrame:
-    return rank.in_facets(rank.score(candidates(spark, d), TASK, rank.FACET_COLUMNS), found)
+    return cut(rank.in_facets(rank.score(candidates(spark, d), TASK, rank.FACET_COLUMNS), found))
 
 
 @query("facet_rank", "WIN-05,FN-05", f"WITH {FACET_SQL} SELECT * FROM by_facet")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.operators import resolve, review
+from loamwork.operators.cut import cut
 from loamwork.plans.facts import RESOLVED_SQL, facts
 from loamwork.plans.registry import query
 
@@ -15,8 +16,8 @@ R = f"WITH {RESOLVED_SQL}"
 def resolved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The facts with resolved imports, calls and test links."""
     f = facts(spark, d)
-    f["resolved"] = resolve.imports(f["imports"], f["code"])
-    f["called"] = resolve.imported_calls(f["calls"], f["resolved"], f["symbols"])
+    f["resolved"] = cut(resolve.imports(f["imports"], f["code"]))
+    f["called"] = cut(resolve.imported_calls(f["calls"], f["resolved"], f["symbols"]))
     return f
 
 
