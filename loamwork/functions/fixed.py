@@ -45,3 +45,17 @@ SNIFF_BYTES, SNIFF_CONTROL_RATIO, TEXT_CONTROLS = 8192, 0.3, (8, 9, 10, 12, 13)
 HEAVY_CODE_PARTS, HEAVY_PENALTY = ("hash-mismatch", "missing", "source-not-read", "stale", "unread"), 0.8
 CODE_PENALTIES = {"incomplete-parse-data": 0.08, "structural-coverage-limitations": 0.12, "dynamic-or-unresolved-calls": 0.15, "structural-record-unavailable": 0.5}
 OTHER_PENALTY = 0.1
+
+# The file roles that a task can ask for, in order; every group must have a word of the task.
+_START = ("start", "startup", "boot", "bootstrap")
+_BROWSER = ("browser", "client", "application", "document", "html")
+REQUESTED_ROLES = (
+    ("startup_manifest_role", (_START, ("npm", "command", "package"))),
+    ("server_entry_role", (_START, ("server", "node", "http", "socket"))),
+    ("browser_document_role", (_START, _BROWSER, ("document", "html"))),
+    ("browser_bootstrap_role", (_START, _BROWSER)),
+    ("media_search_service_role", (("media",), ("search",))),
+    ("media_client_role", (("video", "library", "catalog"),)),
+    ("configuration_role", (("config", "setting"),)),
+    ("requested_test_role", (("test", "regression"),)),
+)

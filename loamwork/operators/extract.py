@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 FACT = "path string, kind string, name string, qualified_name string, parent string, start long, stop long, detail string"
 
 
+#: Characters of a docstring and of a parser's message that a fact shows.
+DOCSTRING, MESSAGE = 500, 200
+
+
 class _Facts(ast.NodeVisitor):
     """Collects (kind, name, qualified name, parent, first line, last line, detail) in source order."""
 
@@ -80,10 +84,10 @@ def python_facts(text: str) -> list[tuple]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
         line = getattr(e, "lineno", None) or 1
-        return [("diagnostic", "syntax_error", "syntax_error", None, line, line, str(e)[:200])]
+        return [("diagnostic", "syntax_error", "syntax_error", None, line, line, str(e)[:MESSAGE])]
     facts = _Facts()
     if doc := ast.get_docstring(tree):
-        facts.rows.append(("docstring", "module", "module", None, 1, 1, doc[:500]))
+        facts.rows.append(("docstring", "module", "module", None, 1, 1, doc[:DOCSTRING]))
     facts.visit(tree)
     return facts.rows
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamwork.functions import paths
+from loamwork.functions import fixed, paths
 from loamwork.functions.text import ranking_tokens, task_tokens
 from loamwork.operators.ranking import global_row_number
 
@@ -192,9 +192,20 @@ def preselect(placed: DataFrame, found: list[Facet], limit: int, fill: bool = Tr
     return top.withColumn("n", nth).filter("tier < 2 or n = 1").select("path", "tier")
 
 
-def role_firsts(ranked: DataFrame) -> DataFrame:
-    """The first record of each signal."""
-    return ranked.select("path", "rank", F.explode("signals").alias("signal")).groupBy("signal").agg(F.min_by("path", "rank").alias("path"))
+def requested_roles(task: str) -> list[str]:
+    """The role signals that a task asks for, in order."""
+    said = set(task_tokens(task))
+    return [signal for signal, groups in fixed.REQUESTED_ROLES if all(said & set(g) for g in groups)]
+
+
+def fallback_roles(scored: DataFrame, task: str) -> DataFrame:
+    """(path, score, signals) -> signal, path: the first record of each role that the task asks for; a path that several
+    have counts for the first of them. A row a role at most, found without ranking all."""
+    wanted = requested_roles(task)
+    order = F.create_map(*(F.lit(x) for kv in ((s, n) for n, s in enumerate(wanted)) for x in kv)) if wanted else F.lit(None).cast("map<string,int>")
+    laid = scored.select("path", "score", F.explode("signals").alias("signal")).filter(F.col("signal").isin(wanted) if wanted else F.lit(False))
+    firsts = laid.groupBy("signal").agg(F.min_by("path", F.struct(-F.col("score"), "path")).alias("path"))
+    return firsts.groupBy("path").agg(F.min_by("signal", F.try_element_at(order, F.col("signal"))).alias("signal")).select("signal", "path")
 
 
 def pick_confidence(score: Column, fallback: bool) -> Column:

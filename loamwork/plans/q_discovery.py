@@ -114,12 +114,17 @@ def facet_preselect(spark: SparkSession, d: str) -> DataFrame:
     return rank.preselect(_facets(spark, d), FOUND, 40).select("path", F.col("tier").cast("long").alias("tier"))
 
 
-@query("fallback_roles", "WIN-07,TOP-02", f"""WITH {CAND_SQL} SELECT 'application_entry_point' AS signal, arg_min(path, rank) AS path FROM ranked WHERE entry
-UNION ALL SELECT 'implementation_file', arg_min(path, rank) FROM ranked WHERE NOT entry AND {_CODE} UNION ALL SELECT 'manual_pin', arg_min(path, rank) FROM ranked WHERE pinned
-UNION ALL SELECT 'direct_related_test', arg_min(path, rank) FROM ranked WHERE direct_test AND {_TEST} UNION ALL SELECT 'current_semantic_record', arg_min(path, rank) FROM ranked WHERE semantic""")
+# Some files have the names of a server's entry and of settings.
+_NAMED = "CASE WHEN doc_id % 40 = 2 THEN regexp_replace(path, '[^/]*$', 'server.py') WHEN doc_id % 40 = 4 THEN regexp_replace(path, '[^/]*$', 'settings.toml') ELSE path END"
+ROLE_SQL = CAND_SQL.replace(FILES_SQL, FILES_SQL.replace("files AS", "base AS", 1) + f", files AS (SELECT * REPLACE ({_NAMED} AS path) FROM base)")
+
+
+@query("fallback_roles", "WIN-07,TOP-02", f"""WITH {ROLE_SQL}, r AS (SELECT 0 AS n, 'server_entry_role' AS signal, path, rank FROM ranked WHERE {_STEM} = 'server' UNION ALL SELECT 1, 'configuration_role', path, rank FROM ranked WHERE {_STEM} = 'settings' UNION ALL SELECT 2, 'requested_test_role', path, rank FROM ranked WHERE {_TEST}),
+f AS (SELECT n, signal, arg_min(path, rank) AS path FROM r GROUP BY n, signal) SELECT arg_min(signal, n) AS signal, path FROM f GROUP BY path""")
 def fallback_roles(spark: SparkSession, d: str) -> DataFrame:
-    kept = ("application_entry_point", "implementation_file", "manual_pin", "direct_related_test", "current_semantic_record")
-    return rank.role_firsts(ranked(spark, d)).filter(F.col("signal").isin(*kept))
+    i, path = F.col("doc_id"), F.col("path")
+    named = F.when(i % 40 == 2, F.regexp_replace(path, "[^/]+$", "server.py")).when(i % 40 == 4, F.regexp_replace(path, "[^/]+$", "settings.toml")).otherwise(path)
+    return rank.fallback_roles(rank.score(candidates(spark, d, "doc_id").withColumn("path", named), TASK), TASK)
 
 
 @query("pick_confidence", "AGG-20", f"WITH {CAND_SQL} SELECT path, round(least(0.99, 0.5 + score / (2 * (score + 1))), 12) AS model_pick, round(least(0.8, 0.4 + score / (2 * (score + 1))), 12) AS fallback_pick FROM ranked")

@@ -14,12 +14,23 @@ from loamwork.plans.registry import duck_language, duck_tokens, query
 _I = "doc_id::VARCHAR"
 
 
-@query("python_facts", "UDT-01,UDT-02,UDT-03", f"""WITH {FILES_SQL}
-SELECT path, 'import' AS kind, 'os.path' AS qualified_name, 1::BIGINT AS start, 1::BIGINT AS stop FROM files WHERE ends_with(path, '.py')
-UNION ALL SELECT path, 'class', 'C' || {_I}, 2, 4 FROM files WHERE ends_with(path, '.py') UNION ALL SELECT path, 'method', 'C' || {_I} || '.run', 3, 4 FROM files WHERE ends_with(path, '.py')
-UNION ALL SELECT path, 'call', 'C' || {_I} || '.run.helper', 4, 4 FROM files WHERE ends_with(path, '.py') UNION ALL SELECT path, 'diagnostic', 'no_structural_extractor', 1, 1 FROM files WHERE NOT ends_with(path, '.py')""")
+_CLEAN = r"""regexp_replace(text, '["\\\\\x00]', '', 'g')"""
+
+
+@query("python_facts", "UDT-01,UDT-02,UDT-03", f"""WITH {FILES_SQL}, t AS (SELECT doc_id AS i, path, {_CLEAN} AS c, ends_with(path, '.py') AS py FROM files),
+p AS (SELECT *, 2 + length(c) - length(replace(c, chr(10), '')) AS l, i % 4 AS k, i % 7 = 0 AS bad FROM t WHERE py), g AS (SELECT *, l + 1 + 2 * k AS s FROM p WHERE NOT bad), f AS (SELECT *, unnest(range(k)) AS j FROM g), o AS (SELECT * FROM g WHERE i % 3 = 0)
+SELECT path, 'docstring' AS kind, 'module' AS qualified_name, 1::BIGINT AS start, 1::BIGINT AS stop FROM g WHERE regexp_matches(c, '\\S') UNION ALL SELECT path, 'import', 'os.path', l, l FROM g
+UNION ALL SELECT path, 'function', 'fn_' || j, l + 1 + 2 * j, l + 2 + 2 * j FROM f UNION ALL SELECT path, 'call', 'fn_' || j || '.helper_' || j, l + 2 + 2 * j, l + 2 + 2 * j FROM f
+UNION ALL SELECT path, 'class', 'C' || {_I.replace('doc_id', 'i')}, s, s + 4 FROM o UNION ALL SELECT path, 'method', 'C' || i || '.run', s + 3, s + 4 FROM o UNION ALL SELECT path, 'raise', 'C' || i || '.run.ValueError', s + 4, s + 4 FROM o
+UNION ALL SELECT path, 'call', 'C' || i || '.run.' || n, s + 4, s + 4 FROM o, (SELECT unnest(['ValueError', 'self.go']) AS n)
+UNION ALL SELECT path, 'diagnostic', 'syntax_error', l + 1 + 2 * k + CASE WHEN i % 3 = 0 THEN 5 ELSE 0 END, l + 1 + 2 * k + CASE WHEN i % 3 = 0 THEN 5 ELSE 0 END FROM p WHERE bad UNION ALL SELECT path, 'diagnostic', 'no_structural_extractor', 1, 1 FROM t WHERE NOT py""")
 def python_facts(spark: SparkSession, d: str) -> DataFrame:
-    code = F.concat(F.lit("from os import path\nclass C"), F.col("doc_id").cast("string"), F.lit(":\n    def run(self, x):\n        return helper(x)\n"))
+    """Files of differing code below their whole text, which is their docstring."""
+    i = F.col("doc_id")
+    doc = F.regexp_replace("text", r'["\\\x00]', "")
+    functions = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < i % 4), lambda j: F.concat(F.lit("def fn_"), j.cast("string"), F.lit("(x):\n    return helper_"), j.cast("string"), F.lit("(x)\n"))), "")
+    held = F.when(i % 3 == 0, F.concat(F.lit("class C"), i.cast("string"), F.lit(":\n    LIMIT = 1\n\n    async def run(self):\n        raise ValueError(self.go())\n"))).otherwise("")
+    code = F.concat(F.lit('"""'), doc, F.lit('"""\nfrom os import path\n'), functions, held, F.when(i % 7 == 0, "def broken(:\n").otherwise(""))
     return extract.extract(files(spark, d).select("path", code.alias("text"))).select("path", "kind", "qualified_name", "start", "stop")
 
 
