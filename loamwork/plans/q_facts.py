@@ -77,7 +77,7 @@ def _omitted(name: str, code: str, ids: str, src: str, a: str, b: str, rows):
 _omitted("omitted_imports", "direct-import-omitted", "JOIN-20,SET-02", "resolved WHERE resolution = 'internal'", "path", "target", lambda f: f["resolved"].select(F.col("path").alias("source"), "target"))
 _omitted("omitted_importers", "direct-importer-omitted", "JOIN-20,SET-02", "resolved WHERE resolution = 'internal'", "target", "path", lambda f: f["resolved"].select(F.col("target").alias("source"), F.col("path").alias("target")).filter("source is not null"))
 _omitted("omitted_callers", "caller-omitted", "JOIN-20", "rcalls WHERE target_path IS NOT NULL", "target_path", "path", lambda f: f["called"].filter("target_path is not null").select(F.col("target_path").alias("source"), F.col("path").alias("target")))
-_omitted("omitted_entry_points", "public-entry-point-omitted", "JOIN-20", "(SELECT c.path AS handler, o.path AS entry FROM code c JOIN code o ON o.i = c.i + 1 WHERE c.i % 5 = 0)", "handler", "entry", lambda f: f["code"].filter("i % 5 = 0").select(F.col("path").alias("source"), (F.col("i") + 1).alias("i")).join(f["code"].select("i", F.col("path").alias("target")), "i").select("source", "target"))
+_omitted("omitted_entry_points", "public-entry-point-omitted", "JOIN-20", "(SELECT c.path AS handler, o.path AS entry FROM code c JOIN code o ON o.i = c.i + 2 WHERE c.i % 5 = 0)", "handler", "entry", lambda f: f["code"].filter("i % 5 = 0").select(F.col("path").alias("source"), (F.col("i") + 2).alias("i")).join(f["code"].select("i", F.col("path").alias("target")), "i").select("source", "target"))
 
 _LOOKS = r"(regexp_matches(lower(related), '^tests?/') OR regexp_matches(lower(related), '(^|/)test_[^/]*$') OR regexp_matches(lower(related), '(_test\.py|\.test\.js|\.spec\.js|\.test\.ts|\.spec\.ts)$'))"
 
