@@ -63,8 +63,7 @@ def is_relevant(signals: Column) -> Column:
 
 def rank(scored: DataFrame) -> DataFrame:
     """Add rank by (score descending, path), and candidate_id, ten hex digits of the path's hash, two more a collision."""
-    # groups: a score and the first ten characters of the path, which sort as paths do
-    ranked = global_row_number(scored, "rank", [-F.col("score"), F.substring("path", 1, 10)], [F.col("path")])
+    ranked = global_row_number(scored, "rank", [-F.col("score"), F.col("path")])
     digest = F.sha2("path", 256)
     nth = F.row_number().over(Window.partitionBy(F.substring(digest, 1, 10)).orderBy("rank"))
     return ranked.withColumn("candidate_id", F.concat(F.lit("c-"), F.substring(digest, F.lit(1), 10 + 2 * (nth - 1))))
@@ -143,7 +142,7 @@ def facet_ranking(placed: DataFrame) -> DataFrame:
     """in_facets() -> facet, path, facet_score, facet_rank."""
     laid = placed.select("path", "score", F.explode("facets").alias("x")).select("path", "score", "x.*")
     # offsets restart a facet: number all, then take off what lies before the facet
-    all_ = global_row_number(laid, "place", [F.col("facet"), F.col("mismatch"), -F.col("facet_score"), -F.col("score"), F.substring("path", 1, 10)], [F.col("path")])
+    all_ = global_row_number(laid, "place", [F.col("facet"), F.col("mismatch"), -F.col("facet_score"), -F.col("score"), F.col("path")])
     first = all_.groupBy("facet").agg(F.min("place").alias("first"))
     return all_.join(F.broadcast(first), "facet").select("facet", "path", "facet_score", (F.col("place") - F.col("first") + 1).alias("facet_rank"))
 

@@ -198,7 +198,7 @@ def tree_preorder(spark: SparkSession, d: str) -> DataFrame:
     folders = f.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
     at = F.array_join(F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("0"), x)), "\x01")
     nodes = f.select("path", F.lit("file").alias("kind"), paths.preorder_key(F.col("path")).alias("k")).union(folders.select("path", F.lit("directory"), at))
-    return global_row_number(nodes, "position", [F.regexp_extract("k", "^([^\x01]*(\x01[^\x01]*)?)", 1)], [F.col("k")]).select("path", "kind", "position")
+    return global_row_number(nodes, "position", [F.col("k")]).select("path", "kind", "position")
 
 
 @query("merge_ranges", "WIN-01", f"""WITH {RANGES_SQL}, r AS (SELECT DISTINCT * FROM ranges),
@@ -260,7 +260,7 @@ _index("reuse_plan", "JOIN-27", f"SELECT c.path, CASE WHEN p.path IS NOT NULL AN
 _index("semantic_reuse", "JOIN-28", f"""SELECT c.path, min(place)::BIGINT AS place FROM cur c LEFT JOIN (SELECT *, 0 AS place FROM prev WHERE doc_id % 3 = 0 UNION ALL SELECT *, 1 AS place FROM prev) p ON p.path = c.path AND {_SAME} GROUP BY c.path""",
        lambda p, c: index.first_reusable(c, [p.filter("doc_id % 3 = 0"), p]))
 _index("index_statistics", "AGG-04", "SELECT count(*) AS n_files, sum(size_bytes)::BIGINT AS n_bytes, count(*) FILTER (status = 'complete') AS n_complete, count(*) FILTER (status = 'partial') AS n_partial, count(*) FILTER (status = 'failed') AS n_failed FROM prev", lambda p, c: index.statistics(p))
-_index("snapshot_digest", "AGG-19,FN-11,FN-12", "SELECT sha256(string_agg(d || ':' || h, ',' ORDER BY d)) AS digest FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS d, sha256(string_agg(sha256('{\"path\":\"' || path || '\",\"sha256\":\"' || sha256 || '\"}'), ',' ORDER BY path)) AS h FROM cur GROUP BY 1)",
+_index("snapshot_digest", "AGG-19,FN-11,FN-12", "SELECT sha256('[' || string_agg('{\"path\":\"' || path || '\",\"sha256\":\"' || sha256 || '\"}', ',' ORDER BY path) || ']') AS digest FROM cur",
        lambda p, c: index.ordered_digest(c, "path", F.concat(F.lit('{"path":"'), F.col("path"), F.lit('","sha256":"'), F.col("sha256"), F.lit('"}'))))
 _index("manifest_assembly", "SNK-17,FLT-24", "SELECT analyzer, count(*) AS n, count(*) - count(DISTINCT path) AS n_repeated, min(path) AS first_path FROM prev GROUP BY analyzer",
        lambda p, c: p.groupBy("analyzer").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("path")).alias("n_repeated"), F.min("path").alias("first_path")))
