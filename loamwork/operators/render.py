@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamwork.functions.paths import language
 from loamwork.functions.text import fence
@@ -54,3 +55,27 @@ def prompt_order(parts: DataFrame) -> DataFrame:
     """Parts with section, the place of their category; a prompt is its parts by (section, path)."""
     place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("category"))
     return parts.withColumn("section", place.cast("long"))
+
+
+def suggestion(selected: DataFrame, warnings: DataFrame, form: str) -> DataFrame:
+    """(rank, path, confidence) and (code, path or null, message) -> (part, at, line): a discovery result's lines in order of
+    (part, at), as text, markdown or json. Text and markdown show equal warnings once, with how many they are; json each."""
+    share = F.format_number("confidence", 2)
+    if form == "json":
+        files = F.to_json(F.struct("rank", "path", "confidence"))
+        told = warnings.select(F.to_json(F.struct("code", "path", "message"), {"ignoreNullFields": "false"}).alias("line"))
+    else:
+        files = F.concat_ws("", F.col("rank").cast("string"), F.lit(". `" if form == "markdown" else ". "), "path", F.lit("` (" if form == "markdown" else " ("), share, F.lit(")"))
+        groups = warnings.groupBy("code", "message").agg(F.count("*").alias("n"))
+        told = groups.select(F.concat_ws("", F.lit("- **" if form == "markdown" else "- "), "code", F.lit("**: " if form == "markdown" else ": "), "message", F.when(F.col("n") > 1, F.concat(F.lit(" x"), F.col("n").cast("string"))).otherwise("")).alias("line"))
+    return selected.select(F.lit(1).alias("part"), F.lpad(F.col("rank").cast("string"), 12, "0").alias("at"), files.alias("line")).union(told.select(F.lit(2), F.col("line"), "line"))
+
+
+def inspection(sections: DataFrame, most: int = 20) -> DataFrame:
+    """Package sections (path, n_bytes, ranged) -> (at, line): its totals, and its `most` largest files. Offline: nothing but the
+    package is read."""
+    total = sections.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b"), F.count_if("ranged").alias("r"))
+    lines = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("at"), F.concat(F.lit(f"{name}: "), F.col(c).cast("string")).alias("line")) for k, (name, c) in enumerate((("files", "n"), ("bytes", "b"), ("ranged", "r")))))).alias("x")).select("x.at", "x.line")
+    top = sections.orderBy(F.desc("n_bytes"), "path").limit(most)
+    at = F.row_number().over(Window.orderBy(F.desc("n_bytes"), "path")) + 9  # `most` rows
+    return lines.union(top.select(at.alias("at"), F.concat("path", F.lit(" "), F.col("n_bytes").cast("string"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.operators import codemap, resolve, session
+from loamwork.operators import codemap, render, resolve, session
 from loamwork.operators.cut import cut
 from loamwork.plans.binding import FILES_SQL, files, table
 from loamwork.plans.facts import FACTS_SQL, RESOLVED_SQL, facts
@@ -163,3 +163,27 @@ def context_actions(spark: SparkSession, d: str) -> DataFrame:
         (v % 20 * 7 + 5).alias("size"), (v % 20 == 3).alias("pinned"), (v % 20 == 4).alias("excluded"),
     )
     return session.context_actions(a, 8, 400).select("session", "seq", "outcome", "used")
+
+
+_FORM = """SELECT '{form}' AS form, 1::BIGINT AS part, lpad(rank::VARCHAR, 12, '0') AS at, {file} AS line FROM sel UNION ALL SELECT '{form}', 2, {told} AS at, {told} FROM {src}"""
+
+
+@query("suggestion_render", "SNK-09", f"""WITH {FACTS_SQL}, sel AS (SELECT i AS rank, path, 0.5::DOUBLE + (i % 4) / 8.0::DOUBLE AS confidence FROM code WHERE i % 10 = 4), w AS (SELECT CASE WHEN i % 2 = 0 THEN 'related-test-omitted' ELSE 'stale-index-coverage' END AS code, CASE WHEN i % 2 = 0 THEN path END AS path, 'look at ' || (i % 3)::VARCHAR AS message FROM code WHERE i % 7 = 0),
+g AS (SELECT code, message, CASE WHEN count(*) > 1 THEN ' x' || count(*)::VARCHAR ELSE '' END AS n FROM w GROUP BY ALL)
+{_FORM.format(form='text', file="rank::VARCHAR || '. ' || path || ' (' || printf('%.2f', confidence) || ')'", told="'- ' || code || ': ' || message || n", src='g')}
+UNION ALL {_FORM.format(form='markdown', file="rank::VARCHAR || '. `' || path || '` (' || printf('%.2f', confidence) || ')'", told="'- **' || code || '**: ' || message || n", src='g')}
+UNION ALL {_FORM.format(form='json', file="chr(123) || '\"rank\":' || rank::VARCHAR || ',\"path\":\"' || path || '\",\"confidence\":' || confidence::VARCHAR || chr(125)", told="chr(123) || '\"code\":\"' || code || '\",\"path\":' || coalesce('\"' || path || '\"', 'null') || ',\"message\":\"' || message || '\"' || chr(125)", src='w')}""")
+def suggestion_render(spark: SparkSession, d: str) -> DataFrame:
+    c = facts(spark, d)["code"]
+    i = F.col("i")
+    chosen = c.filter("i % 10 = 4").select(i.alias("rank"), "path", (F.lit(0.5) + (i % 4) / F.lit(8.0)).alias("confidence"))
+    told = c.filter("i % 7 = 0").select(F.when(i % 2 == 0, "related-test-omitted").otherwise("stale-index-coverage").alias("code"), F.when(i % 2 == 0, F.col("path")).alias("path"), F.concat(F.lit("look at "), (i % 3).cast("string")).alias("message"))
+    forms = [render.suggestion(chosen, told, form).select(F.lit(form).alias("form"), F.col("part").cast("long").alias("part"), "at", "line") for form in ("text", "markdown", "json")]
+    return forms[0].union(forms[1]).union(forms[2])
+
+
+@query("package_inspection", "SNK-12", f"""WITH {FILES_SQL}, s AS (SELECT path, size_bytes AS b, doc_id % 3 = 0 AS r FROM files), t AS (SELECT path, b, row_number() OVER (ORDER BY b DESC, path) AS n FROM s)
+SELECT 0::BIGINT AS at, 'files: ' || count(*)::VARCHAR AS line FROM s UNION ALL SELECT 1, 'bytes: ' || sum(b)::VARCHAR FROM s UNION ALL SELECT 2, 'ranged: ' || (count(*) FILTER (r))::VARCHAR FROM s UNION ALL SELECT n + 9, path || ' ' || b::VARCHAR FROM t WHERE n <= 20""")
+def package_inspection(spark: SparkSession, d: str) -> DataFrame:
+    s = files(spark, d).select("path", F.col("size_bytes").alias("n_bytes"), (F.col("doc_id") % 3 == 0).alias("ranged"))
+    return render.inspection(s).select(F.col("at").cast("long").alias("at"), "line")
