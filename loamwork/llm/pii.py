@@ -1,6 +1,7 @@
 """Personal data: spans by pattern, and terms that give protected entities away.
 
-Patterns find emails, IP addresses, card and phone numbers: the protected entities. Over the whole corpus, a term's
+Patterns find emails, IP addresses, card and phone numbers, and secrets that a text names as such (a token, key or
+password and its value): the protected entities. Over the whole corpus, a term's
 pointwise mutual information with an entity, by documents that hold both, against the entity's own information, says
 how strongly the term reveals it (C-sanitisation, Sanchez and Batet 2016). Terms over the threshold are generalised
 wherever they stand in the entity's documents, stronger ones removed.
@@ -17,16 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import BROADCAST_BYTES, join_checked, materialise, prepare
+from loamwork.llm import worker
+from loamwork.llm.store import Held, join_checked, materialise, prepare
 
-KINDS = ("email", "ip", "card", "phone", "term")
+#: The base kinds, then those that the method adds.
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+BASE, TERM, SECRET = 4, 4, 5
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match begins where a run of digits does, and takes whole runs: no start within a run, no backtracking into one
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{4,}")
+# How texts name a secret.
+_SECRET = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/=.~-]{16,})")
 
 
 @dataclass(frozen=True)
@@ -68,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, sorted; kinds as listed in KINDS."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -79,9 +86,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def protected(text: str) -> list[tuple[int, int, int]]:
+    """The base spans and the values of named secrets, sorted."""
+    named = [(m.start(1), SECRET, m.end(1)) for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
+    return sorted(base_spans(text) + named) if named else base_spans(text)
+
+
 def entity(kind: int, text: str) -> str:
-    """The protected entity of a span: addresses by lower case, numbers by digits."""
-    return f"{KINDS[kind]}:{text.lower() if kind < 2 else ''.join(_DIGIT.findall(text))}"
+    """The protected entity of a span: addresses by lower case, numbers by digits, secrets as they are."""
+    return f"{KINDS[kind]}:{text if kind == SECRET else text.lower() if kind < 2 else ''.join(_DIGIT.findall(text))}"
 
 
 def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -100,10 +113,11 @@ FOUND = "kinds array<int>, starts array<int>, ends array<int>, entities array<st
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.free()
     for batch in batches:
         spans, entities, terms = [], [], []
         for text in batch.column("text").to_pylist():
-            own = base_spans(text) if text else []
+            own = protected(text) if text else []
             spans.append(own)
             entities.append(sorted({entity(kind, text[a:b]) for a, kind, b in own}))
             terms.append(sorted({t for t, _, _ in outside(text, own)}) if own else [])
@@ -113,7 +127,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, tid2, text) -> doc_id, tid, tid2, the base spans, and where there are any the document's distinct
+    """(doc_id, tid, tid2, text) -> doc_id, tid, tid2, the protected spans, and where there are any the document's distinct
     entities and terms; no text."""
     return docs.select("doc_id", "tid", "tid2", "text").mapInArrow(_find, f"doc_id long, tid long, tid2 int, {FOUND}")
 
@@ -136,25 +150,25 @@ def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_documents(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(term, n): distinct texts of the whole corpus that have it; each of k copies counts for a k-th."""
-    counted = join_checked(docs.select("tid", "tid2", "text"), copies, ["tid", "tid2"], "left", 64).select("text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    counted = join_checked(docs.select("tid", "tid2", "text"), copies, ["tid", "tid2"], "left").select("text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     return counted.mapInArrow(_all_terms, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure, hold: Held) -> DataFrame:
     """(entity, term, disclosure): the pairs at or over the generalise threshold.
 
     With N distinct texts, n(e), n(t) and n(e, t) of them holding the entity, the term, and both, anywhere in the text,
     p(e | t) is smoothed to (n(e, t) + prior n(e) / N) / (n(t) + prior), PMI = ln(p(e | t) N / n(e)) and IC = ln(N / n(e)).
     Equal texts are one, so that copies of a document support nothing.
     """
-    copies = materialise(found.groupBy("tid", "tid2").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    copies = hold(found.groupBy("tid", "tid2").agg(F.count("*").alias("copies")).filter("copies > 1"))
     twice = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
     total = float(found.count() - twice)
     held = found.filter(F.size("entities") > 0).select("tid", "tid2", "entities", "terms").dropDuplicates(["tid", "tid2"])
-    held = materialise(held, "held")
+    held = hold(held)
     pairs = held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    of_entity = materialise(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne")), "of_entity")
-    scored = join_checked(pairs, of_entity, ["entity"], "inner", 100).join(term_documents(docs, copies), "term")
+    of_entity = hold(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne")))
+    scored = join_checked(pairs, of_entity, ["entity"], "inner").join(term_documents(docs, copies), "term")
     seen = (F.col("both") + rule.prior * F.col("ne") / total) / (F.col("n") + rule.prior)
     pmi, ic = F.log(seen * total / F.col("ne")), F.log(F.lit(total) / F.col("ne"))
     return scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= rule.generalise).select("entity", "term", "disclosure")
@@ -169,22 +183,20 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = []
         for text, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist(), strict=True):
             score = {x["term"]: x["disclosure"] for x in told}
-            extra.append([{"start": a, "kind": 4, "end": b, "disclosure": score[t]} for t, a, b in outside(text, base_spans(text)) if t in score])
+            extra.append([{"start": a, "kind": TERM, "end": b, "disclosure": score[t]} for t, a, b in outside(text, protected(text)) if t in score])
         yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("tid2"), pa.array(extra, kind)], names=["tid", "tid2", "extra"])
 
 
-def locate(docs: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+def locate(docs: DataFrame, found: DataFrame, told: DataFrame, hold: Held) -> DataFrame:
     """(tid, tid2, extra): for each text with a disclosing term of one of its entities, all places of those terms."""
     of = found.filter(F.size("entities") > 0).select("tid", "tid2", "entities", "terms").dropDuplicates(["tid", "tid2"])
     of = of.select("tid", "tid2", F.explode("entities").alias("entity"), "terms")
-    by = materialise(told.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("score")), "by_entity")
-    size = (by.agg(F.sum(F.size("score"))).first()[0] or 0) * 100
-    hit = of.join(F.broadcast(by) if size <= BROADCAST_BYTES else by.hint("merge"), "entity")
+    by = hold(told.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("score")))
+    hit = join_checked(of, by, ["entity"], "inner")
     hit = hit.select("tid", "tid2", F.explode(F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), F.element_at("score", t).alias("disclosure"))), lambda x: x["disclosure"].isNotNull())).alias("x"))
     hit = hit.groupBy("tid", "tid2", "x.term").agg(F.max("x.disclosure").alias("disclosure"))
-    hit = materialise(hit.groupBy("tid", "tid2").agg(F.collect_list(F.struct("term", "disclosure")).alias("told")), "told")
-    size = (hit.agg(F.sum(F.size("told"))).first()[0] or 0) * 100
-    texts = docs.select("tid", "tid2", "text").join(F.broadcast(hit) if size <= BROADCAST_BYTES else hit.hint("merge"), ["tid", "tid2"])
+    hit = hold(hit.groupBy("tid", "tid2").agg(F.collect_list(F.struct("term", "disclosure")).alias("told")))
+    texts = join_checked(docs.select("tid", "tid2", "text"), hit, ["tid", "tid2"], "inner")
     # equal texts have equal places
     return texts.mapInArrow(_locate, f"tid long, tid2 int, extra {EXTRA}").dropDuplicates(["tid", "tid2"])
 
@@ -197,7 +209,7 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def spans(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, tid and tid2 (hashes of the text), spans: array of (start, kind, end, disclosure), sorted.
 
-    kind 0 to 3 are the base kinds in the order of KINDS, their disclosure null; kind 4 are terms. A null or empty text
+    Kinds are numbered as in KINDS: 0 to 3 the base ones, 4 terms, 5 secrets; disclosure is null but for terms. A null or empty text
     has none; rows are judged each by itself, equal ones alike; an empty table gives no rows. Texts are read for spans and
     terms, for the counts of terms, and for the places of disclosing ones; they are shuffled only where what is joined to
     them is too large to broadcast.
@@ -205,32 +217,33 @@ def spans(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_i
     prepare(docs.sparkSession)
     base = _key(docs, doc_id, text)
     found = materialise(find(base), "found")
-    told = materialise(disclosing(base, found, rule), "disclosing")
-    hits = materialise(locate(base, found, told), "terms_found")
+    with Held() as hold:
+        told = materialise(disclosing(base, found, rule, hold), "disclosing")
+        hits = materialise(locate(base, found, told, hold), "terms_found")
     own = F.transform(F.arrays_zip("starts", "kinds", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["kinds"].alias("kind"), x["ends"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
-    joined = join_checked(found, hits, ["tid", "tid2"], "left", 400)
+    joined = join_checked(found, hits, ["tid", "tid2"], "left")
     return joined.select("doc_id", "tid", "tid2", F.array_sort(F.concat(own, F.coalesce("extra", F.array().cast(EXTRA)))).alias("spans"))
 
 
 def report(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
-    """Per row: doc_id, a count a base kind, n_term, base_sha256 of the base spans and spans, kind:start:end by comma."""
+    """Per row: doc_id, a count a kind, base_sha256 of the base spans and spans, kind:start:end by comma, and any_span."""
     told = spans(docs, rule)
     names = F.array(*(F.lit(k) for k in KINDS))
     line = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     count = {f"n_{k}": F.size(F.array_remove(F.transform("spans", lambda x: x["kind"] == KINDS.index(k)), False)).cast("long") for k in KINDS}
-    return told.withColumns(count).select("doc_id", *count, F.sha2(F.encode(line(F.filter("spans", lambda x: x["kind"] < 4)), "UTF-8"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return told.withColumns(count).select("doc_id", *count, F.sha2(F.encode(line(F.filter("spans", lambda x: x["kind"] < BASE)), "UTF-8"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("any_span"))
 
 
 def cleaned(text: str, found: list[tuple[int, int, int, float | None]], remove: float) -> str:
-    """The text with base spans as [KIND], terms as [TERM] or, from `remove` on, left out. Overlapping spans fall to the
+    """The text with protected spans as [KIND], terms as [TERM] or, from `remove` on, left out. Overlapping spans fall to the
     first, and a longer one's rest goes with it."""
     out, at = [], 0
     for start, kind, end, disclosure in found:
         if start < at:
-            at = max(at, end) if kind < 4 else at
+            at = at if kind == TERM else max(at, end)
             continue
         out.append(text[at:start])
-        out.append(f"[{KINDS[kind].upper()}]" if kind < 4 or disclosure < remove else "")
+        out.append(f"[{KINDS[kind].upper()}]" if kind != TERM or disclosure < remove else "")
         at = end
     return "".join([*out, text[at:]])
 
@@ -251,6 +264,6 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "do
         return pa.array([t if t is None or not s else cleaned(t, [(x["start"], x["kind"], x["end"], x["disclosure"]) for x in s], rule.remove) for t, s in rows], pa.string())
 
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys(F.coalesce(F.col(text), F.lit(""))))
-    joined = join_checked(keyed, told, ["tid", "tid2"], "left", 400)
+    joined = join_checked(keyed, told, ["tid", "tid2"], "left")
     new = F.when(F.col("spans").isNull(), F.col("row")[text]).otherwise(clean(F.col("row")[text], F.col("spans")))
     return joined.select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -56,7 +56,8 @@ class Held:
 
     For tables that are a step or two behind a written one: what a lost executor held is computed anew from there. They
     spare the shared folder their files, and the executors a process for each file's permissions. Nothing that is read
-    after the block may depend on them but through a written table.
+    after the block may depend on them but through a written table, and held tables don't stand on held ones for many
+    steps: every plan over them repeats theirs on the driver.
     """
 
     def __enter__(self) -> Held:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from loamwork.llm import worker
+
 #: Bytes of text that are worked on at once; a longer single text makes a longer piece.
 PIECE_BYTES = 1 << 19
 _WHITE = np.zeros(256, bool)
@@ -79,6 +81,7 @@ class Piece:
 
 def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
     """Cut a text column (null: empty) into pieces of about PIECE_BYTES, whole texts each."""
+    worker.free()
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
