@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm import mixing, neardup, pii, sentence_pieces, toxicity
-from loamwork.llm.store import join_checked, materialise
+from loamwork.llm.store import materialise
 
 #: The stages hold a classifier, signatures and a scheduler, which SQL cannot express.
 ORACLE_SQL = None
@@ -20,15 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group; rows that repeat an id count once, null ids stay."""
-    told = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialise(told.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = join_checked(docs, gone, ["doc_id"], "left_anti", 16)
-    twice = materialise(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left.select(*docs.columns)
-    once = join_checked(left, twice, ["doc_id"], "left_semi", 16).dropDuplicates(["doc_id"])
-    return join_checked(left, twice, ["doc_id"], "left_anti", 16).select(*docs.columns).union(once.select(*docs.columns))
+    """One document of each near-duplicate group, by text alone: rows that share an id but not their text all count."""
+    return neardup.deduplicate(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +31,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows ordered by the mix of sources."""
-    return mixing.in_order(mixing.mix(docs), rows_per_file=5_000).select(*docs.columns)
+    return mixing.mix_in_order(docs, rows_per_file=5_000).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
