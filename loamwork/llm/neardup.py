@@ -368,15 +368,15 @@ def _components(base: DataFrame, feats: DataFrame, shingle: int, percent: int, h
     wanted = first.select(F.col("x").alias("node")).union(first.select("y")).distinct()
     sets = _full_sets(base, screens, wanted, shingle, hold)
     links = materialise(verified(first, sets, percent).filter("linked").select("x", "y"), "links")
-    comps = hold(connected_components(links))
+    comps = connected_components(links)
     labelled = join_checked(hits.join(sizes.select("band", "g"), "band"), comps, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = hold(labelled)
+    labelled = materialise(labelled, "labelled")
     open_ = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
     rest = materialise(labelled.join(open_, "band", "left_semi"), "open")
     left = hold(rest.select("node", "component").distinct())
     if not left.isEmpty():
         more = _second_links(base, rest, left, screens, shingle, percent, hold)
-        comps = hold(connected_components(links.union(more)))
+        comps = connected_components(links.union(more))
     reps = some.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "s1", "s2", F.col("rep").alias("node")).distinct()
     reps = join_checked(reps, comps, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
     # rows that share an id are one node: its smallest component
@@ -402,7 +402,7 @@ def _second_links(base: DataFrame, rest: DataFrame, left: DataFrame, screens: Da
     sets = _full_sets(base, screens, left.select("node"), shingle, hold)
     own = sets.dropDuplicates(["node"]).join(left, "node")
     large = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
-    large = hold(large)
+    large = materialise(large, "large")
     blocked = join_checked(left, large, ["cluster"], "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("long")).drop("blocks")
     blocked = hold(blocked)
     parts = F.ceil(F.col("g") / PART).cast("int")

@@ -120,10 +120,13 @@ def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray
         p = (y.sum() + 0.5) / (n + 1)
         return Link(w, float(np.log(p / (1 - p))))
     b = float(np.log(y.mean() / (1 - y.mean())))
-    by_row, by_col = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
-    row_names, row_at = np.unique(rows[by_row], return_index=True)
-    col_names, col_at = np.unique(cols[by_col], return_index=True)
-    row_cols, row_vals, col_rows, col_vals = cols[by_row], vals[by_row], rows[by_col], vals[by_col]
+    by = np.argsort(rows, kind="stable")
+    row_names, row_at = np.unique(rows[by], return_index=True)
+    row_cols, row_vals = cols[by], vals[by]
+    by = np.argsort(cols, kind="stable")
+    col_names, col_at = np.unique(cols[by], return_index=True)
+    col_rows, col_vals = rows[by], vals[by]
+    del by
     each = np.bincount(rows, vals, n) + 1  # bounds the curvature with the other columns a row has
     curve = 0.25 * np.bincount(cols, np.abs(vals) * each[rows], width) + l2
     curve_b = 0.25 * each.sum()
@@ -173,9 +176,9 @@ def flat(actives: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _triplets(actives: list[np.ndarray], earlier: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, k = earlier.shape
     row, own = flat(actives)
-    rows = np.concatenate([row, np.repeat(np.arange(n), k)])
-    cols = np.concatenate([own, np.tile(np.arange(k) + width, n)]).astype(np.int64)
-    return rows.astype(np.int64), cols, np.concatenate([np.ones(len(rows) - n * k), earlier.ravel()])
+    rows = np.concatenate([row, np.repeat(np.arange(n), k)]).astype(np.int32)
+    cols = np.concatenate([own, np.tile(np.arange(k) + width, n)]).astype(np.int32)
+    return rows, cols, np.concatenate([np.ones(len(rows) - n * k), earlier.ravel()])
 
 
 def fit_chain(names: list[str], actives: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> tuple[Chain, np.ndarray]:
@@ -218,14 +221,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), *made], names=["doc_id", "quality", "toxic", "active", "share"])
 
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema.fields}
-    rows = labelled.mapInArrow(encode, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, toxic {kinds['toxic']}, active array<int>, share double").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    actives = [np.array(r["active"], np.int64) for r in rows]
-    toxic = np.array([r["toxic"] == 1 for r in rows], float)
-    share = np.array([r["share"] for r in rows])
-    severe = toxic * (share >= (np.median(share[toxic == 1]) if toxic.any() else 1))
-    y = np.column_stack([np.array([r["quality"] == 0 for r in rows], float), toxic, severe]) if rows else np.zeros((0, 3))
-    return fit_chain(names, actives, y, np.arange(len(rows)) * 2654435761 % (1 << 32) * FOLDS >> 32)[0]
+    # `sample` rows at most, as arrays: no Python object a feature on the driver
+    rows = labelled.mapInArrow(encode, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, toxic {kinds['toxic']}, active array<int>, share double").toArrow().sort_by("doc_id").combine_chunks()
+    told = {c: rows[c].to_numpy() for c in ("quality", "toxic", "share")}
+    held = rows["active"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    actives = np.split(held.flatten().to_numpy(), held.offsets.to_numpy()[1:-1] - held.offsets.to_numpy()[0]) if rows.num_rows else []
+    toxic = (told["toxic"] == 1).astype(float)
+    severe = toxic * (told["share"] >= (np.median(told["share"][toxic == 1]) if toxic.any() else 1))
+    y = np.column_stack([(told["quality"] == 0).astype(float), toxic, severe])
+    return fit_chain(names, actives, y, np.arange(rows.num_rows) * 2654435761 % (1 << 32) * FOLDS >> 32)[0]
 
 
 def score(text: Column, chain: Chain) -> Column:
