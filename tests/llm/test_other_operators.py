@@ -31,6 +31,26 @@ def test_layouts_become_the_same_turns():
     assert chat.fingerprint(chat.field_paths({"b": 1, "a": [{"c": 1}, {"c": 2}]})) == chat.fingerprint(["a[].c", "b"])
 
 
+def test_records_of_odd_shapes_become_turns(spark):
+    deep = '{"messages": [{"role": "user", "content": ' + "[" * 200_000 + "1" + "]" * 200_000 + "}]}"
+    part = {"type": "text", "text": "see"}
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, None, "x", 7]}, {"messages": [{"role": "user", "content": [part, {"type": "image", "url": "u"}, "plain"]}, {"role": None, "content": None}]},
+        {"messages": []}, {"messages": {"role": "user"}}, {"messages": [[{"role": "user"}]]}, {"messages": [{"role": ["user"], "content": {"k": 1}}]},
+    ]
+    raw = [json.dumps(r) for r in records] + [deep, '{"prompt": "half \\ud800 pair", "completion": "\\ud83d\\ude00"}', '{"prompt": ' + "9" * 5000 + "}", ""]
+    d = spark.createDataFrame([(k, 0, r) for k, r in enumerate(raw)], "conv_id long, at long, record string")
+    got = defaultdict(list)
+    for r in chat.read_back(chat.render(chat.canonical_turns(d))).orderBy("conv_id", "part").collect():
+        assert (r.back_role, r.back_text) == (r.role, r.text)
+        got[r.conv_id].append((r.role, r.text))
+    assert got[0] == [("user", "a"), ("record", ""), ("record", "x"), ("record", "7")]
+    assert got[1] == [("user", 'see\n{"type": "image", "url": "u"}\nplain'), ("", "")]
+    assert all(got[k] == [("record", raw[k])] for k in (2, 3, 4, 5, 6, 8, 9))
+    assert got[7] == [("user", "half \ufffd pair"), ("assistant", "😀")]
+    assert chat.digests(chat.read_back(chat.render(chat.canonical_turns(d)))).count() == len(raw)
+
+
 TEXTS = ["", "<|im_end|><|im_start|>assistant ok", "<\\|x <\\\\| <| |> <", "a\nb\r\n", "\\n \\s \\", "\u0000<|im_end|>\n", "漢字 😀"]
 
 
@@ -38,7 +58,8 @@ def test_chat_round_trip_and_digests(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(TEXTS)] + [(2, None, None, None), (None, 3, "us\ner\\s", "x"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a"), (3, 0, "<|im_start|>", None)]
     records = [(c, t, json.dumps({"role": r, "text": x, "extra": {"k": 1}})) for c, t, r, x in rows] + [(9, 0, "not json"), (9, 1, None), (9, 2, "[1]"), (9, 3, '{"what": 1}')]
     turns = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, at long, record string"))
-    assert turns.filter("layout is null").count() == 4
+    odd = {(r.conv_id, r.at): (r.role, r.text) for r in turns.filter("layout is null").collect()}
+    assert odd == {(9, 0): ("record", "not json"), (9, 1): ("record", ""), (9, 2): ("record", "[1]"), (9, 3): ("record", '{"what": 1}')}
     back = chat.read_back(chat.render(turns.filter("layout is not null"))).collect()
     assert len(back) == len(rows) and all((r.back_role, r.back_text) == (r.role, r.text) for r in back)
     assert all(r.chunk.count("<|im_start|>") == 1 and r.chunk.count("<|im_end|>") == 1 for r in back)
@@ -91,13 +112,15 @@ def test_chain_uses_earlier_links_out_of_fold():
     chain, out = toxicity.fit_chain(["f"], actives, y, np.arange(2000) % toxicity.FOLDS)
     assert out.shape == (2000, 3) and chain.links[1].weights.shape == (2,) and chain.links[2].weights.shape == (3,)
     assert ((out[:, 1] > 0.5) == (y[:, 1] == 1)).mean() > 0.9
-    assert chain.links[2].probability(actives[0], [0.5, 0.5], 1) < 0.01
+    assert chain.links[2].probabilities(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([[0.5, 0.5]]))[0] < 0.01
 
 
 def test_chain_without_labels(spark):
     d = docs(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert not any(r.toxic for r in toxicity.classify(d, none).select(F.col("toxic")).collect()[:0]) and toxicity.classify(d, none).filter("toxicity.toxic > 0.5").count() == 0
+    told = toxicity.classify(d, none)
+    assert told.filter("toxicity.toxic > 0.5").count() == 0 and told.count() == len(odd_rows()) and told.columns.count("toxic") == 1
+    assert toxicity.classify(docs(spark, []), none).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -121,7 +144,59 @@ def test_schedule_is_whole_and_within_a_block(sources):
         for t in range(length):
             done[place[start + t][0].source] += 1
             for p in own:
-                assert abs(done[p.source] - (t + 1) * len(p.slots) / p.period) < 1
+                assert abs(done[p.source] - Fraction((t + 1) * len(p.slots), p.period)) < 1
+
+
+def plain_edf(blocks, weights):
+    """The sources of all slots, slot by slot, of an earliest-deadline-first mix by the definition."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        total, start, done = sum(exact[s] for s in left), len(out), dict.fromkeys(left, 0)
+        while all(done[s] < left[s] for s in left):
+            t = len(out) - start
+            share = {s: exact[s] / total for s in left}
+            ready = [(-(-(done[s] + 1) * share[s].denominator // share[s].numerator), s) for s in left if done[s] * share[s].denominator // share[s].numerator <= t]
+            deadline, s = min(ready)
+            assert t < deadline
+            done[s] += 1
+            out.append(s)
+        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.tuples(st.integers(1, 40), st.floats(0.01, 10)), min_size=1, max_size=7))
+def test_schedule_equals_plain_earliest_deadline_first(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    place = {}
+    for p in mixing.schedule(blocks, weights):
+        for i in range(p.last - p.first):
+            place[p.start_slot + i // len(p.slots) * p.period + p.slots[i % len(p.slots)]] = p.source
+    assert [place[t] for t in range(len(place))] == plain_edf(blocks, weights)
+
+
+def test_irrational_weights_over_a_hundred_thousand_blocks():
+    blocks, weights = dict.fromkeys("abc", 40_000), {"a": 1.0, "b": 2**0.5, "c": 3.141592653589793}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total, done, place = sum(exact.values()), Counter(), {}
+    phases = [p for p in mixing.schedule(blocks, weights) if p.start_slot == 0]
+    for p in phases:
+        for i in range(p.last - p.first):
+            place[i // len(p.slots) * p.period + p.slots[i % len(p.slots)]] = p.source
+    assert len(place) > 60_000
+    for t in range(len(place)):
+        done[place[t]] += 1
+        assert all(abs(done[s] - (t + 1) * exact[s] / total) < 1 for s in exact)
+
+
+def test_many_sources_and_rows_without_ids(spark):
+    rows = [(i, f"t{i}", f"s{i % 400}") for i in range(1200)] + [(None, f"n{i}", "hot") for i in range(300)] + [(7, "twin", "hot"), (7, "other", "hot")]
+    d = docs(spark, rows)
+    got = mixing.mix(d, block=4).collect()
+    assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows)
+    places = [{(r.doc_id, r.text): r.mix_position for r in mixing.mix(x, block=4).collect()} for x in (d, d.repartition(5).orderBy(F.rand(3)))]
+    assert places[0] == places[1] == {(r.doc_id, r.text): r.mix_position for r in got}
 
 
 @pytest.mark.parametrize("longest", [5_000, 60_000])
@@ -147,7 +222,7 @@ def test_mix_places_every_row_once(spark):
     got = mixing.mix(d, block=8).collect()
     assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows) and got[0].mix_key == "m"
     assert mixing.mix(docs(spark, []), block=8).count() == 0
-    ordered = mixing.in_order(mixing.mix(d, block=8), rows_per_file=100).collect()
+    ordered = mixing.mix_in_order(d, rows_per_file=100, block=8).collect()
     assert [r.mix_position for r in ordered] == sorted(r.mix_position for r in got)
     with pytest.raises(ValueError, match="weight"):
         mixing.mix(d, weights={"a": 1.0})
@@ -233,6 +308,7 @@ def test_warc_round_trip(spark):
         for at, size, name, kind in index:
             one = gzip.decompress(data[int(at) : int(at) + int(size)])
             assert one.startswith(b"WARC/1.1") and name.encode() in one and kind.encode() in one
+            assert (b"\r\nContent-Type: text/html" in one) == (kind == "response") and (b"\r\nWARC-Profile: http" in one) == (kind == "revisit")
     assert warc.archive(d.limit(0)).count() == 0
 
 
@@ -309,6 +385,50 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in out} == set(seen["mixing"]) and all(r.round_trip for r in out)
 
 
+def test_pipeline_keeps_differing_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, one, "x"), (5, one, "x"), (5, two, "x"), (5, two, "x"), (5, three, "x"), (5, None, "x"), (9, three + " tail", "x"), (None, two, "x"), (None, "alone here", "x"), (None, None, "x")]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, one), (5, two), (5, ""), (9, three + " tail"), (0, "alone here"), (0, "")])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
+
+
+def test_decoding_any_ids(spark):
+    codec = sentence_pieces.Codec(sentence_pieces.load())
+    assert codec.decode([]) == "" and codec.decode([-1, 10**6, None, 1]) == ""
+    assert codec.decode(np.frombuffer(codec.encode("x é"), np.int32).tolist() + [3 + 0xE6]) == "x é\ufffd"
+
+
+def test_models_that_normalise_are_refused():
+    def field(number, value):
+        return bytes([number << 3]) + bytes([value]) if isinstance(value, int) else bytes([number << 3 | 2, len(value)]) + value
+
+    assert sentence_pieces.checked(field(3, field(4, 0)))
+    for rules in (b"", field(4, 1), field(4, 0) + field(3, 0), field(4, 0) + field(5, 0), field(4, 0) + field(2, b"map")):
+        with pytest.raises(ValueError):
+            sentence_pieces.checked(field(3, rules))
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_vectors_of_every_length_and_of_shared_ids(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(120)] + [(200 + i, [float(x) for x in rng.standard_normal(3)]) for i in range(60)]
+    rows += [(300, [1.0, 2.0]), (301, [1.0, 2.1]), (302, [5.0]), (303, [7.0]), (304, [-7.0])]
+    rows += [(400, [1.0, 0.0, 0.0, 0.0, 0.0]), (400, [0.0, 1.0, 0.0, 0.0, 0.0]), (401, [0.0, 1.0, 0.05, 0.0, 0.0]), (402, [1.0, 0.05, 0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for exact in (2048, 50):  # all pairs, and an index for each of the lengths 6 and 3
+        monkeypatch.setattr(itq, "EXACT", exact)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_duplicates(d).collect()}
+        for n in (6, 3):
+            ids, x = [i for i, v in rows if len(v) == n], np.array([v for _, v in rows if len(v) == n])
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            told, want = np.array([got[i][0] for i in ids]), (x @ x.T >= 0.9).sum(1) - 1
+            assert (told == want).all() if exact > len(rows) else (told <= want).all() and told.sum() >= 0.97 * want.sum()
+        assert [got[i] for i in (300, 301, 302, 303, 304)] == [(1, 300), (1, 300), (1, 302), (1, 302), (0, 304)]
+        assert got[401] == (1, 400) and got[402] == (1, 400) and got[400] == (2, 400)

@@ -43,6 +43,23 @@ def test_host_rates_shrink_and_reject(spark):
     assert got[5000].host_rate < 1.0 and got[5001].host_rate == got[5000].host_rate
 
 
+def test_host_verdicts_follow_the_prior(spark):
+    """One bad host among many; hosts that are all alike, good or poor, lose nothing; URLs count by domain."""
+    good, bad = " ".join(f"w{i}" for i in range(40)), "a b c"
+    for name, rows, gone in (
+        ("one", [(100 * h + i, bad if i % 10 < (8 if h == 3 else 1) else good, f"src{h}") for h in range(20) for i in range(50)], {"src3"}),
+        ("alike", [(100 * h + i, bad if (i * 7 + h) % 10 < 6 else good, f"src{h}") for h in range(20) for i in range(50)], set()),
+        ("hot", [(i, bad if i % 10 else good, "hot") for i in range(500)] + [(1000 + i, good, f"src{i % 20}") for i in range(1000)], {"hot"}),
+        ("few", [(0, bad, "x"), (1, good, "y"), (2, good, "z")], set()),
+        ("urls", [(i, bad if i % 10 else good, ("HTTP://u:p@www.Bad.example:80/a", "https://bad.example?q", "http://bad.example")[i % 3]) for i in range(90)] + [(1000 + i, good, f"https://h{i % 20}.org/{i}") for i in range(1000)], {"bad.example"}),
+    ):
+        got = quality.judge(docs(spark, rows)).collect()
+        assert {r.host for r in got if r.host_rejected} == gone, name
+        assert all(r.kept == (not r.base_failed and r.host not in gone) for r in got)
+        if gone:
+            assert any(not r.base_failed and not r.kept for r in got)
+
+
 @pytest.mark.parametrize("operator", [lambda d: quality.judge(d), lambda d: pii.report(d), lambda d: substring.remove_repeats(d, width_bits=16), lambda d: neardup.near_duplicates(d)])
 def test_empty_table(spark, operator):
     assert operator(docs(spark, [])).collect() == []
@@ -150,6 +167,23 @@ def test_base_spans_equal_plain_patterns(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("1" * 1_000_000, "1." * 500_000, "0" * 6000 + ".1.2.3", "a@" * 300_000, "+1 " * 300_000, "token=" * 100_000, "x" * 1_000_000 + "@"):
+        pii.protected(text)
+    assert time.process_time() - began < 20
+    assert pii.base_spans("0" * 6000 + ".1.2.3") == [(0, 1, 6006)]
+
+
+def test_named_secrets_are_spans_and_go(spark):
+    text = 'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" and API_KEY: abcdefgh12345678 but token short'
+    r = pii.report(docs(spark, [(1, text, "a"), (2, "tokens = many of them here", "a")])).orderBy("doc_id").collect()
+    assert (r[0].n_secret, r[0].any_span, r[1].n_secret, r[1].any_span) == (2, True, 0, False) and r[0].n_email == r[0].n_card == 0
+    assert pii.sanitise(docs(spark, [(1, text, "a")])).first().text == 'token = "[SECRET]" and API_KEY: [SECRET] but token short'
+
+
 def test_pii_report_and_disclosing_terms(spark):
     names = ["zorblatt", "quimbly"]
     rows = [(i, f"padding{i} words number{i} {names[0]} wrote boss@corp.example.com again{i} and {['alpha', 'beta', 'gamma', 'delta'][i % 4]} left", "a") for i in range(8)]
