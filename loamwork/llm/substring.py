@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.store import hold, materialise, prepare
+from loamwork.llm.store import Held, materialise, prepare
 from loamwork.llm.text import WORD_POWERS, Piece, grams, mix, pieces, sliding_min
 
 WINDOW, GRAM = 50, 25
-#: Cells of a sketch row are 2^WIDTH_BITS, whatever the input: more windows than it was made for let more of them
-#: through to the exact stage. The merged sketch is ROWS * 2^WIDTH_BITS bits.
-WIDTH_BITS, ROWS = 26, 2
+#: Rows of the sketch. A row has CELLS cells an anchor or more, 2^LEAST_BITS at least; the merged sketch is one bit a cell and
+#: goes to every executor, which is why a row stops at 2^MOST_BITS cells (256 MB a row, made for 20 TB of text): beyond that
+#: more windows pass on to the exact stage, and none is lost.
+ROWS, CELLS, LEAST_BITS, MOST_BITS = 2, 8, 16, 31
+#: Bytes of text that have an anchor, about: 13 words.
+ANCHOR_BYTES = 78
 _BLOCK_BITS = 16
 _SEEDS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 _LAST = (1 << 63) - 1
@@ -92,21 +95,41 @@ def _sketch(width_bits: int):
     return build
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """Partitions' counts of one block of cells, added; a bit for each cell that reaches two."""
-    total = np.zeros(1 << _BLOCK_BITS, np.int32)
-    for once, more in zip(group["once"].to_pylist(), group["more"].to_pylist(), strict=True):
-        total[np.frombuffer(once, np.uint16)] += 1
-        total[np.frombuffer(more, np.uint16)] += 2
-    return pa.table({"block": group["block"][:1], "bits": pa.array([np.packbits(total > 1, bitorder="little").tobytes()], pa.binary())})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partitions' counts of blocks of cells, sorted by block, added one by one: a bit for each cell that reaches two.
+    What is held is the counts of one block, however many partitions the sketches come from."""
+    total, at = np.zeros(1 << _BLOCK_BITS, np.uint8), None
 
+    def done() -> pa.RecordBatch:
+        bits = np.packbits(total > 1, bitorder="little").tobytes()
+        total[:] = 0
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([bits], pa.binary())], names=["block", "bits"])
 
-def repeated_cells(docs: DataFrame, width_bits: int = WIDTH_BITS) -> np.ndarray:
+    for batch in batches:
+        for block, once, more in zip(batch.column("block").to_pylist(), batch.column("once"), batch.column("more"), strict=True):
+            if at is not None and block != at:
+                yield done()
+            at = block
+            cell = np.frombuffer(once.as_buffer(), np.uint16)
+            total[cell] = np.minimum(total[cell], 1) + 1
+            total[np.frombuffer(more.as_buffer(), np.uint16)] = 2
+    if at is not None:
+        yield done()
+
+
+def width_for(docs: DataFrame) -> int:
+    """Bits of a cell's number, from the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (CELLS * size // ANCHOR_BYTES).bit_length()))
+
+
+def repeated_cells(docs: DataFrame, width_bits: int) -> np.ndarray:
     """The merged sketch as one bit a cell: estimated in two documents or more. ROWS * 2^width_bits bits come to the driver."""
     parts = docs.select("text").mapInArrow(_sketch(width_bits), "block long, once binary, more binary")
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits binary")
     bits = np.zeros(ROWS << (width_bits - 3), np.uint8)
     step = 1 << (_BLOCK_BITS - 3)
-    for r in parts.groupBy("block").applyInArrow(_merge, "block long, bits binary").toLocalIterator():
+    for r in merged.toLocalIterator():
         bits[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -148,21 +171,25 @@ def candidate_runs(docs: DataFrame, bits: np.ndarray, width_bits: int) -> DataFr
     return docs.select("doc", "tid", "text").mapInArrow(emit, RUN)
 
 
-def removed_runs(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
-    """(doc, tid, text) -> (doc, tid, runs array of (start, n)): first windows of the runs to remove, by document."""
+def removed_runs(docs: DataFrame, width_bits: int, hold: Held) -> DataFrame:
+    """(doc, tid, text) -> (doc, tid, runs array of (start, n)): first windows of the runs to remove, by document.
+
+    Tables of one row a repeated run or window are joined as tables of their own, the same way at every size: AQE can then
+    split the rows of a passage that very many documents share, which never meet in one task.
+    """
     found = materialise(candidate_runs(docs, repeated_cells(docs, width_bits), width_bits), "runs")
     same = hold(found.groupBy("v", "k").agg(F.min("doc").alias("least"), F.max("doc").alias("most")))
     several = same.groupBy("v").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("v", F.lit(True).alias("several"))
-    told = same.join(several, "v", "left").filter("several or least < most").withColumn("several", F.coalesce("several", F.lit(False)))
+    told = materialise(same.join(several, "v", "left").filter("several or least < most").withColumn("several", F.coalesce("several", F.lit(False))), "repeated")
     # all of a run in a later document goes; the first document's windows may still lie in another run of the anchor
     whole = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.col("start").alias("start"), F.col("n").alias("n")))
     each = F.transform("w", lambda x, i: F.struct(x.alias("h"), (F.col("start") + i).alias("start"), F.lit(1).alias("n")))
     part = F.when(F.col("doc") > F.col("least"), whole).when(F.col("several"), each)
-    laid = found.join(told, ["v", "k"]).select("doc", "tid", "v", F.explode(part).alias("x")).select("doc", "tid", "v", "x.*")
+    laid = found.join(told.hint("merge"), ["v", "k"]).select("doc", "tid", "v", F.explode(part).alias("x")).select("doc", "tid", "v", "x.*")
     laid = hold(laid)
     single = laid.filter("h is not null")
-    least = single.groupBy("v", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("v", "h", "least")
-    later = single.join(least, ["v", "h"]).filter("doc > least")
+    least = hold(single.groupBy("v", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("v", "h", "least"))
+    later = single.join(least.hint("merge"), ["v", "h"]).filter("doc > least")
     cover = laid.filter("h is null").select("doc", "tid", "start", "n").union(later.select("doc", "tid", "start", "n"))
     # as many entries as the document has words, at most
     return cover.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
@@ -189,17 +216,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width_bits: int = WIDTH_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width_bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a 50-word window over it has a word sequence that also starts in a document of a smaller id; windows
     are judged on the input. Words are runs of other than ASCII white space, unchanged. Null or short texts lose nothing;
-    a null id counts as the largest; rows with equal ids are none of them the smaller; an empty table gives no rows.
+    a null id counts as 2^63 - 1; rows with equal ids are none of them the smaller; an empty table gives no rows.
+
+    Two windows are taken as equal if a 64-bit anchor and a 64-bit hash of theirs are. Both come from 64-bit hashes of the
+    words, polynomials modulo 2^64 mixed once more, which texts made for it (Thue-Morse words of 1,024 characters) can
+    bring to collide; others do so with the probability that random numbers have. width_bits: of the sketch's cells, by
+    default from the bytes of the texts.
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cover = removed_runs(base.select("doc", "tid", "text"), width_bits)
+    keyed = base.select("doc", "tid", "text")
+    with Held() as hold:
+        cover = materialise(removed_runs(keyed, width_bits or width_for(keyed), hold), "cover")
     joined = base.join(cover.hint("merge"), ["doc", "tid"], "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
