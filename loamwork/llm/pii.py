@@ -15,15 +15,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm import worker
-from loamwork.llm.store import Held, join_checked, materialise, prepare
+from loamwork.llm.store import Held, join_checked, materialise, prepare, row_bytes
 
 #: The base kinds, then those that the method adds.
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 BASE, TERM, SECRET = 4, 4, 5
+#: Measured bytes of the most frequent terms that every executor gets to rule out pairs.
+FREQUENT_BYTES = 8 << 20
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # a match begins where a run of digits does, and takes whole runs: no start within a run, no backtracking into one
@@ -154,24 +156,50 @@ def term_documents(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return counted.mapInArrow(_all_terms, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n"))
 
 
+def _disclosure(both: Column, n: Column, ne: Column, total: float, rule: Disclosure) -> Column:
+    """The smoothed PMI(entity; term) / IC(entity), which never falls as `both` grows."""
+    seen = (both + rule.prior * ne / total) / (n + rule.prior)
+    pmi, ic = F.log(seen * total / ne), F.log(F.lit(total) / ne)
+    return F.when(ic > 0, pmi / ic).otherwise(0.0)
+
+
+def frequent(counts: DataFrame, total: float, rule: Disclosure) -> DataFrame:
+    """(term, n) of terms too frequent to disclose an entity of one text, the most frequent ones that fit FREQUENT_BYTES,
+    marked for a broadcast: a power of two of documents is in whole or not at all."""
+    one = F.lit(1).cast("long")
+    out = counts.filter(_disclosure(one, F.col("n"), one, total, rule) < rule.generalise)
+    width = F.length(F.bin(F.col("n").cast("long")))
+    room, least = FREQUENT_BYTES, 65
+    for w, size in sorted(out.groupBy(width).agg(F.sum(row_bytes(out))).collect(), reverse=True):
+        if size > room:
+            break
+        room, least = room - size, w
+    return F.broadcast(out.filter(width >= least))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure, hold: Held) -> DataFrame:
     """(entity, term, disclosure): the pairs at or over the generalise threshold.
 
     With N distinct texts, n(e), n(t) and n(e, t) of them holding the entity, the term, and both, anywhere in the text,
     p(e | t) is smoothed to (n(e, t) + prior n(e) / N) / (n(t) + prior), PMI = ln(p(e | t) N / n(e)) and IC = ln(N / n(e)).
     Equal texts are one, so that copies of a document support nothing.
+
+    A pair of a frequent term is counted only if it would reach the threshold with n(e, t) = n(e), the most that can be; for
+    most pairs that is settled where the document lies, before any is shuffled. The other terms' pairs are all counted.
     """
     copies = hold(found.groupBy("tid", "tid2").agg(F.count("*").alias("copies")).filter("copies > 1"))
     twice = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
     total = float(found.count() - twice)
     held = found.filter(F.size("entities") > 0).select("tid", "tid2", "entities", "terms").dropDuplicates(["tid", "tid2"])
     held = hold(held)
-    pairs = held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     of_entity = hold(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne")))
-    scored = join_checked(pairs, of_entity, ["entity"], "inner").join(term_documents(docs, copies), "term")
-    seen = (F.col("both") + rule.prior * F.col("ne") / total) / (F.col("n") + rule.prior)
-    pmi, ic = F.log(seen * total / F.col("ne")), F.log(F.lit(total) / F.col("ne"))
-    return scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= rule.generalise).select("entity", "term", "disclosure")
+    counts = hold(term_documents(docs, copies))
+    pairs = join_checked(held.select(F.explode("entities").alias("entity"), "terms"), of_entity, ["entity"], "inner").select("entity", "ne", F.explode("terms").alias("term"))
+    pairs = pairs.join(frequent(counts, total, rule), "term", "left")
+    pairs = pairs.filter(F.col("n").isNull() | (_disclosure(F.col("ne"), F.col("n"), F.col("ne"), total, rule) >= rule.generalise))
+    pairs = pairs.groupBy("entity", "ne", "term").agg(F.count("*").alias("both"))
+    scored = pairs.join(counts, "term").withColumn("disclosure", _disclosure(F.col("both"), F.col("n"), F.col("ne"), total, rule))
+    return scored.filter(F.col("disclosure") >= rule.generalise).select("entity", "term", "disclosure")
 
 
 EXTRA = "array<struct<start: int, kind: int, end: int, disclosure: double>>"

@@ -101,10 +101,14 @@ def _bytes(x: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes that a broadcast holds for a row, about."""
+    return sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
+
+
 def measured(df: DataFrame) -> int:
     """Bytes of all rows of a materialised table as a broadcast holds them, summed where the rows lie."""
-    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
-    return df.agg(F.sum(row)).first()[0] or 0
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """op2, op4, op5, op6: contracts against brute force on odd rows."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -220,6 +222,48 @@ def test_copies_prove_nothing(spark):
     assert got[0][0] == got[1][0] == got[1][49]
 
 
+def shuffled_rows(spark, run):
+    """What run returns, and the rows that its stages wrote for shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    out = run()
+    return out, sum(n for i, n in stages().items() if i > before)
+
+
+@pytest.mark.parametrize("room", [8 << 20, 3000, 0])
+def test_pairs_that_cannot_disclose_are_not_shuffled(spark, monkeypatch, room):
+    rng = random.Random(11)
+    word = lambda k: "w" + "".join(chr(97 + int(c)) for c in f"{k:05d}")
+    common = [word(k) for k in range(300)]
+    rows = []
+    for i in range(400):
+        text = common + [word(1000 + int(rng.paretovariate(0.5)) % 3000) for _ in range(20)]
+        if i < 80:
+            who = rng.choice([i, 100 + i % 20, 200 + i % 5])
+            text += [f"who{who}@corp{who}.example.com", word(9000 + who), word(9000 + i % 5)]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), "a"))
+    spans = {i: pii.protected(t) for i, t, _ in rows}
+    entities = {i: {pii.entity(k, t[a:b]) for a, k, b in spans[i]} for i, t, _ in rows}
+    terms = {i: {x for x, _, _ in pii.outside(t, spans[i])} for i, t, _ in rows}
+    n = Counter(x for _, t, _ in rows for x in set(re.findall(r"[^\W\d_]{4,}", t.lower())))
+    ne, both = Counter(e for s in entities.values() for e in s), Counter((e, x) for i in entities for e in entities[i] for x in terms[i])
+    rule, total = pii.Disclosure(prior=1.0), len(rows)
+    score = lambda e, x: math.log((both[e, x] + rule.prior * ne[e] / total) / (n[x] + rule.prior) * total / ne[e]) / math.log(total / ne[e])
+    told = {p for p in both if score(*p) >= rule.generalise}
+    want = {(i, a, b) for i, t, _ in rows for x, a, b in pii.outside(t, spans[i]) if any((e, x) in told for e in entities[i])}
+    monkeypatch.setattr(pii, "FREQUENT_BYTES", room, raising=False)
+    got, moved = shuffled_rows(spark, lambda: pii.spans(docs(spark, rows), rule).collect())
+    assert {(r.doc_id, x.start, x.end) for r in got for x in r.spans if x.kind == pii.TERM} == want and len(want) > 50
+    assert room < 1 << 20 or moved < len(both)
+
+
 def test_graph_components(spark):
     from loamwork.llm.graph import connected_components
 
